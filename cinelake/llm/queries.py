@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import bpe
+from cinelake.llm import bpe, language, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxicity.query,
+    "op8_language_id": language.query,
     "op9_byte_bpe": bpe.query,
 }
 
