@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import bpe, language, toxicity
+from cinelake.llm import bpe, language, line_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.query,
+    "op5_line_dedup": line_dedup.query,
     "op8_language_id": language.query,
     "op9_byte_bpe": bpe.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
+}
