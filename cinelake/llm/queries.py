@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import bpe, language, line_dedup, toxicity
+from cinelake.llm import bpe, language, line_dedup, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.query,
+    "op4_mixing": mixing.query,
     "op5_line_dedup": line_dedup.query,
     "op8_language_id": language.query,
     "op9_byte_bpe": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
 }
