@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import bpe, language, licenses, line_dedup, mixing, toxicity
+from cinelake.llm import bpe, jaccard, language, licenses, line_dedup, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.query,
     "op4_mixing": mixing.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_jaccard_join": jaccard.query,
     "op7_license_scan": licenses.query,
     "op8_language_id": language.query,
     "op9_byte_bpe": bpe.query,
