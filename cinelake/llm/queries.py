@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import bpe, jaccard, language, licenses, line_dedup, mixing, toxicity
+from cinelake.llm import ann, bpe, jaccard, language, licenses, line_dedup, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": licenses.query,
     "op8_language_id": language.query,
     "op9_byte_bpe": bpe.query,
+    "op10_ann": ann.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
