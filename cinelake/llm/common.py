@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 from cinelake.session import checkpointed, shared_dir, stored
 
-__all__ = ["checkpointed", "crc_mod", "documents", "embeddings", "last_long", "lower_ascii", "shared_dir", "stored", "text_bytes"]
+__all__ = ["checkpointed", "chunks", "crc_mod", "documents", "embeddings", "last_long", "lower_ascii", "shared_dir", "stored", "text_bytes"]
 
+#: Bytes of text that are worked on at a time; a longer text is taken by itself.
+CHUNK = 2_000_000
 #: Stands for a null id where ids are compared, so that a row without an id comes last.
 LAST = 2**63 - 1
 
@@ -46,3 +50,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if offsets is not None and len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
+
+
+def chunks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows with about CHUNK bytes of text: the rows, their bytes, and the offsets of the texts."""
+    raw, at = text_bytes(batch.column(text))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, side="right")) - 1)
+        yield batch.slice(first, last - first), raw[at[first] : at[last]], at[first : last + 1] - at[first]
+        first = last

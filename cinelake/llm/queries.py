@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import ann, bpe, embedding_dedup, jaccard, language, licenses, line_dedup, mixing, toxicity
+from cinelake.llm import ann, bpe, embedding_dedup, jaccard, language, licenses, line_dedup, mixing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.query,
     "op2_toxicity": toxicity.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_mixing": mixing.query,
     "op5_line_dedup": line_dedup.query,
     "op6_jaccard_join": jaccard.query,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import crc_mod, documents, stored, text_bytes
+from cinelake.llm.common import chunks, crc_mod, documents, stored
 
 ORDERS = (4, 5, 6, 8)
 BITS = 22
@@ -32,8 +32,6 @@ SAMPLE = 20_000
 FEATURES = 4096
 #: Standard errors by which the class frequencies of a bucket must differ.
 SIGNIFICANT = 4.0
-#: Bytes of text that are turned to n-grams at a time; a longer text is taken by itself.
-CHUNK = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -52,16 +50,6 @@ class Model:
         return out
 
 
-def chunks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows with about CHUNK bytes of text: the rows, their bytes, and the offsets of the texts."""
-    raw, at = text_bytes(batch.column(text))
-    first = 0
-    while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, side="right")) - 1)
-        yield batch.slice(first, last - first), raw[at[first] : at[last]], at[first : last + 1] - at[first]
-        first = last
-
-
 def grams(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order the bucket at each position, and whether the n-gram ends within its text."""
     low = _LOWER[raw]
