@@ -1,24 +1,58 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators: from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of the stage before. All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinelake.llm import bpe
+from cinelake.llm import bpe, jaccard, line_dedup, mixing, toxicity
+from cinelake.llm.common import last_long, stored
 
+#: Stages with trained models and hashed joins have no SQL; a test compares them with plain Python.
 ORACLE_SQL = None
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its ids, written for training."""
-    return bpe.encode_decode(docs)
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, does not reject."""
+    return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document has; ``n_chars`` is of the text that stays."""
+    kept = line_dedup.drop_repeats(docs)
+    return kept.select(*[F.length("text").cast("long").alias(name) if name == "n_chars" else F.col(name) for name in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near copies."""
+    copies = jaccard.link(docs).where("id != component").select(F.col("id").alias("__copy"))
+    return docs.join(copies.hint("shuffle_hash"), last_long("doc_id") == F.col("__copy"), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: each document as many times as it is taken."""
+    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    taken = taken.groupBy("__id", "__source", "__size").agg(F.max("__times").alias("__times"))  # repeated rows are taken alike
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (mixing.words(F.col("text")) == F.col("__size"))
+    rows = docs.join(taken.hint("shuffle_hash"), same)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the text that they decode to."""
+    return bpe.encode_decode(docs).select("doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
 
 
-STAGES = [("encode", encode)]
+STAGES = [("toxicity", toxic), ("line_dedup", lines), ("jaccard_join", near_copies), ("mixing", mixed), ("byte_bpe", encoded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
