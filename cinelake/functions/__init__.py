@@ -1 +1 @@
-"""Placeholder."""
+"""Scalar expressions and driver-side helpers."""
