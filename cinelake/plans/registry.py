@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import expressions as E
 from cinelake.operators import intervals, matching, pixels, views
+from cinelake.plans import planner
 from cinelake.plans.adapter import CTES, SIDE, Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -414,6 +415,14 @@ def virtual_path(c: Catalog) -> DataFrame:
     return c.physical_videos.select("id", E.parse_path(path).alias("p")).select("id", "p.width", "p.height", "p.left", "p.crop_width", F.col("p.start").cast("double").alias("start"), F.col("p.end").cast("double").alias("end"), "p.codec")
 
 
+@query("q_plan_dp")
+def plan_dp(c: Catalog) -> DataFrame:
+    """Plans of whole logical videos for 540 x 960 hevc."""
+    fragments = intervals.split_fragments(intervals.frame_spans(c.gops, c.physical_videos))
+    g = c.gops.select("physical_id", F.col("id").alias("gop_id"), E.to_frames(F.col("start_us")).alias("g_start"), (E.to_frames(F.col("end_us")) - 1).alias("g_end"))
+    return planner.plan_all(fragments, g, planner.Format("hevc", 540, 960))
+
+
 # --- frames ----------------------------------------------------------------------------------------------------------------------
 
 
