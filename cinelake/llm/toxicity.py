@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         for batch in batches:
             for part, raw, at in chunks(batch, 1):
                 total = _totals(raw, at, table, model.intercept)
-                p = 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+                p = np.where(np.isneginf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -700, 700))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
