@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from cinelake.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 800_000
+#: Pre-tokens whose ids a worker remembers once they have come again, and pre-tokens that it waits for to come again. Either memory is
+#: emptied when it is full.
+REMEMBERED, AWAITED = 200_000, 100_000
 
 
 def default_path() -> str:
@@ -101,6 +102,7 @@ class Codec(dict):
         self.table = dict(enumerate(chars))
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
         self.find = regex.compile(pattern).findall
+        self.awaited: dict[str, bytes] = {}
         back = {c: b for b, c in enumerate(chars)}
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for rank in self.ranks.values():
@@ -108,14 +110,20 @@ class Codec(dict):
 
     def __missing__(self, token: str) -> bytes:
         """A pre-token that is an entry as a whole is that entry; any other is merged by the model."""
+        packed = self.awaited.pop(token, None)
+        if packed is not None:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = packed
+            return packed
         raw = token.encode()
         rank = self.ranks.get(raw)
         ids = [rank] if rank is not None else self.model.encode(raw.decode("latin-1").translate(self.table), out_type=int)
         packed = np.array(ids, dtype="<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
         if len(token) < 64:
-            self[token] = packed
+            if len(self.awaited) >= AWAITED:
+                self.awaited.clear()
+            self.awaited[token] = packed
         return packed
 
     def encode(self, text: str | None) -> bytes:
