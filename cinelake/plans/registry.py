@@ -11,6 +11,7 @@ from cinelake.functions import expressions as E
 from cinelake.operators import intervals, matching, pixels, views
 from cinelake.plans import planner
 from cinelake.plans.adapter import CTES, SIDE, Catalog
+from cinelake.sources import frames as fr
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -607,6 +608,22 @@ def color_distance(c: Catalog) -> DataFrame:
     return c.frames.select("frame_no", F.round(pixels.colour_distance(at(1) * 65536 + at(2) * 256 + at(3), (127, 127, 127)), 6).alias("distance"))
 
 
+@query("q_zstd_roundtrip", "SELECT doc_id, strlen(text) AS n_bytes, true AS same FROM documents")
+def zstd_roundtrip(c: Catalog) -> DataFrame:
+    """Texts compressed and back."""
+    rows = c.table("documents").select("doc_id", F.encode("text", "utf-8").alias("raw"), F.encode("text", "utf-8").alias("content"))
+    back = fr.decompress(fr.compress(rows, "content", 3), "content")
+    return back.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), (F.col("raw") == F.col("content")).alias("same"))
+
+
+@query("q_frame_ssim")
+def frame_ssim(c: Catalog) -> DataFrame:
+    """PSNR and SSIM of each frame and the next, by the functions on bytes."""
+    chars = F.transform("px", lambda x: F.lpad(F.hex(x), 2, "0"))
+    rows = c.frames.select(F.lit(0).cast("long").alias("video_id"), "frame_no", (F.col("frame_no") / 30.0).alias("t"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(chars, "")).alias("pixels"))
+    return fr.quality(rows, rows.withColumn("frame_no", F.col("frame_no") - 1))
+
+
 # --- detections ------------------------------------------------------------------------------------------------------------------
 
 GAP_US = 3_600_000_000

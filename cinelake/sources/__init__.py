@@ -1 +1 @@
-"""Placeholder."""
+"""Sources and sinks: containers, raw frames, detections and codecs."""
