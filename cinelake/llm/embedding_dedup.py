@@ -233,3 +233,15 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(embeddings(spark, sf_dir)).withColumnRenamed("id", "vec_id")
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0 AND len([y FOR y IN embedding IF y <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+roots AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM roots LEFT JOIN counts USING (vec_id)
+"""

@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_jaccard_join": jaccard.ORACLE_SQL,
 }
