@@ -6,9 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinelake.functions.expressions import MAX_COMPRESSION, PERFECT_MSE, compression_level, file_name, strict_greatest
+from cinelake.functions.expressions import PERFECT_MSE, compression_level, file_name, strict_greatest
 
-__all__ = ["MAX_COMPRESSION"]
 TEMPORAL_WEIGHT, QUALITY_WEIGHT = 4.0, 2.0
 LEAST_PRESSURE = 0.25
 

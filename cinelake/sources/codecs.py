@@ -26,7 +26,6 @@ def _decode_rgb(data: bytes, height: int, width: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(data, np.uint8, size, at).reshape(height, width, 3)
 
 
-KNOWN = ("h264", "hevc", "rgb")
 _codecs = {"rgb": Codec(_decode_rgb, lambda frames, fps: b"".join(np.ascontiguousarray(x, np.uint8).tobytes() for x in frames))}
 
 
