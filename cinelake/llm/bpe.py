@@ -4,15 +4,14 @@ Each byte stands as one character (the usual printable stand-ins), each vocabula
 rank, and normalisation is the identity. Sentencepiece then merges, within one pre-token, the neighbours whose joint piece has
 the best score, which is the lowest rank: the merge rule of byte-level BPE. Nothing is trained.
 
-Each text is handled by itself in the partition that holds it: no shuffle, and the model is read by each Python worker from the
-vocabulary file, whose size is fixed.
+Each text is handled by itself in the partition that holds it: no shuffle, and each task makes the
+model from the vocabulary file, whose size is fixed.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import documents
+from cinelake.llm.common import documents, small_batches, tidied
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers once they have come again, and pre-tokens that it waits for to come again. Either memory is
@@ -134,11 +133,6 @@ class Codec(dict):
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
-
-
 def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Ids of every whole text and the bytes that they decode to.
 
@@ -149,14 +143,14 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
     path, pattern = path or default_path(), pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = Codec(path, pattern)
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 ids = [own.encode(text) for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([own.decode(x) for x in ids], pa.binary())], names=["id", "ids", "n_tokens", "decoded"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary, n_tokens long, decoded binary").withColumnRenamed("id", id_column)
+    rows = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInArrow(tidied(run), "id long, ids binary, n_tokens long, decoded binary").withColumnRenamed("id", id_column)
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

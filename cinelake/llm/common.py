@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +13,12 @@ from pyspark.sql import functions as F
 
 from cinelake.session import checkpointed, shared_dir, stored
 
-__all__ = ["checkpointed", "chunks", "crc_mod", "documents", "embeddings", "last_long", "lower_ascii", "shared_dir", "stored", "text_bytes"]
+__all__ = ["checkpointed", "chunks", "crc_mod", "documents", "embeddings", "last_long", "lower_ascii", "shared_dir", "small_batches", "stored", "text_bytes", "tidied"]
 
 #: Bytes of text that are worked on at a time; a longer text is taken by itself.
 CHUNK = 2_000_000
+#: Rows of an Arrow batch, at most, so that batches of long texts stay small.
+BATCH = 1000
 #: Stands for a null id where ids are compared, so that a row without an id comes last.
 LAST = 2**63 - 1
 
@@ -60,3 +64,29 @@ def chunks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, n
         last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, side="right")) - 1)
         yield batch.slice(first, last - first), raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to Arrow batches of at most BATCH rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, str(BATCH))
+    return df
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives the memory that it took back to the system at its end: Python workers are used again by later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

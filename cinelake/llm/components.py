@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import checkpointed
+from cinelake.llm.common import checkpointed, tidied
 
 
 def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -42,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     brought together: each step takes minima by groups, which are summed up before the shuffle.
     """
     edges = links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = checkpointed(edges.mapInArrow(_local, "a long, b long").distinct())  # a > b throughout
+    edges = checkpointed(edges.mapInArrow(tidied(_local), "a long, b long").distinct())  # a > b throughout
     before = None
     while True:
         # large star: each neighbour above a node goes to the least node around it

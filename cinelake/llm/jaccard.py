@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import documents, last_long, stored
+from cinelake.llm.common import documents, last_long, small_batches, stored, tidied
 from cinelake.llm.components import components
 
 WORDS = 5
@@ -242,7 +242,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     one = arrays.select(F.col("set").alias("a"), F.col("hashes").alias("hashes_a"))
     two = arrays.select(F.col("set").alias("b"), F.col("hashes").alias("hashes_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verified, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(tidied(_verified), "a long, b long")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -252,12 +252,12 @@ def link(docs: DataFrame) -> DataFrame:
     link with nothing. Rows of the same id are one document, with the smallest of their sets' hashes deciding which; other columns
     are ignored. An empty table gives an empty result.
     """
-    texts = docs.select(last_long("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = stored(texts.mapInArrow(_sets, "id long, set long, n long, bits binary"), "jaccard-sets")
+    texts = small_batches(docs).select(last_long("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    sets = stored(texts.mapInArrow(tidied(_sets), "id long, set long, n long, bits binary"), "jaccard-sets")
     ids = sets.groupBy("id").agg(F.min(F.struct("set", "n")).alias("s")).select("id", "s.set", "s.n")
     known = sets.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
 
-    hashes = [np.frombuffer(x["hashes"], np.uint64) for x in texts.select("text", F.xxhash64("id").alias("o"), "id").orderBy("o", "id").limit(SAMPLE).select("id", "text").mapInArrow(_arrays, "set long, hashes binary").collect()]
+    hashes = [np.frombuffer(x["hashes"], np.uint64) for x in texts.select("text", F.xxhash64("id").alias("o"), "id").orderBy("o", "id").limit(SAMPLE).select("id", "text").mapInArrow(tidied(_arrays), "set long, hashes binary").collect()]
     every, times = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_counts=True)
     frequent = docs.sparkSession.sparkContext.broadcast(every[times >= FREQUENT])  # at most 1 / FREQUENT of the sample's shingles
 
@@ -270,7 +270,7 @@ def link(docs: DataFrame) -> DataFrame:
                 name = _set_id(h)
                 if not len(h) or name in sent:
                     continue
-                if len(sent) < 1_000_000:
+                if len(sent) < 200_000:
                     sent.add(name)
                 if len(often):
                     late = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
@@ -286,20 +286,20 @@ def link(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([x.tobytes() for x in np.split(h, cuts[1:])], pa.binary()), pa.array([x.tobytes() for x in np.split(of, cuts[1:])], pa.binary())], names=["bucket", "hashes", "sets"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = texts.select("text").mapInArrow(prefixes, "bucket long, hashes binary, sets binary").repartition(n, "bucket")
-    groups = packed.mapInArrow(_grouped, "key long, sets binary").groupBy("key").applyInArrow(_again, "tile long, set long")
+    packed = texts.select("text").mapInArrow(tidied(prefixes), "bucket long, hashes binary, sets binary").repartition(n, "bucket")
+    groups = packed.mapInArrow(tidied(_grouped), "key long, sets binary").groupBy("key").applyInArrow(_again, "tile long, set long")
     tiles = stored(groups.join(known.select("set", "n", "bits"), "set").select("tile", "set", "n", "bits"), "jaccard-tiles")
     by_tile = tiles.repartition(n, "tile").sortWithinPartitions("tile")
-    found = stored(by_tile.mapInArrow(_compared(True), "a long, b long").distinct(), "jaccard-pairs")
+    found = stored(by_tile.mapInArrow(tidied(_compared(True)), "a long, b long").distinct(), "jaccard-pairs")
     pairs, named = found.where("a != b"), found.where("a = b").select(F.col("a").alias("set"))
     needed = known.join(named, "set").select(F.col("rep").alias("id"), "set")
     # an id may have several rows with different texts: the set tells which is meant
-    arrays = texts.join(needed.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(_arrays, "set long, hashes binary")
+    arrays = texts.join(needed.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(tidied(_arrays), "set long, hashes binary")
     arrays = stored(arrays.dropDuplicates(["set"]), "jaccard-arrays")
     links = stored(_verify(pairs, arrays), "jaccard-links")
     roots = components(links)
     rooted = tiles.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("tile", "set", "n", "bits", F.coalesce("root", "set").alias("root"))
-    rest = rooted.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_compared(False), "a long, b long").distinct()
+    rest = rooted.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(tidied(_compared(False)), "a long, b long").distinct()
     more = _verify(rest.join(pairs, ["a", "b"], "left_anti"), arrays)
     roots = components(links.union(more))
     reps = known.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("set", "rep", F.coalesce("root", "set").alias("root"))

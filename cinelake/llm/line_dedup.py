@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import documents, last_long
+from cinelake.llm.common import documents, last_long, small_batches, tidied
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Code points that a key must have.
@@ -89,14 +89,14 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def seen_twice(docs: DataFrame) -> dict[int, bytes]:
     """The second filter by segment: compressed bits of all hashes that more than one document holds, and few others."""
-    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sent, "segment long, once binary, twice binary")
-    parts = sent.repartition(1 << SEGMENT_BITS, "segment").mapInArrow(_filtered, "segment long, bits binary")
+    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(_sent), "segment long, once binary, twice binary")
+    parts = sent.repartition(1 << SEGMENT_BITS, "segment").mapInArrow(tidied(_filtered), "segment long, bits binary")
     return {row["segment"]: bytes(row["bits"]) for row in parts.collect()}  # at most 2 ** BITS bits
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """The lines to drop: ``id`` (long, a null doc_id as the largest) and ``digests`` (array of binary, one for each key)."""
-    shared = docs.sparkSession.sparkContext.broadcast(seen_twice(docs))
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(seen_twice(docs))
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompress = zstandard.ZstdDecompressor().decompress
@@ -115,7 +115,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).take(pa.array([owner[k] for k in held], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([blake2b(keys[k], digest_size=16).digest() for k in held], pa.binary())], names=["id", "digest"])
 
-    suspects = docs.select(last_long("doc_id").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(suspected, "id long, digest binary")
+    suspects = docs.select(last_long("doc_id").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(suspected), "id long, digest binary")
     first = suspects.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
     later = suspects.join(first, "digest").where("id != first")
     return later.groupBy("id").agg(F.collect_set("digest").alias("digests"))
@@ -151,7 +151,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*kept, "n_lines", "n_dropped"])
 
     schema = rows.drop("__digests").schema.add("n_lines", "long").add("n_dropped", "long")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

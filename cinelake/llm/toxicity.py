@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import chunks, crc_mod, documents, stored
+from cinelake.llm.common import chunks, crc_mod, documents, small_batches, stored, tidied
 
 ORDERS = (4, 5, 6, 8)
 BITS = 22
@@ -106,7 +106,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """The bounded sample of labelled texts: label (0/1), text. Rows held out (crc32(doc_id) mod 5 = 0) never take part."""
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label in (0, 1)").where(crc_mod("id", 5) != 0)
     some = marked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(some), "id").select("label", "text")  # at most `sample` rows of two numbers are broadcast
 
 
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         n[row["label"]] = row["count"]
     if not n.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
-    found = rows.mapInArrow(_frequencies, "slice long, counts binary").groupBy("slice").applyInArrow(_significance(n), "bucket long, ratio double, sure double")
+    found = rows.mapInArrow(tidied(_frequencies), "slice long, counts binary").groupBy("slice").applyInArrow(_significance(n), "bucket long, ratio double, sure double")
     best = sorted(found.orderBy(F.desc("sure"), "bucket").limit(FEATURES).collect())
     chosen, ratio = np.array([x["bucket"] for x in best], dtype=np.int64), np.array([x["ratio"] for x in best])
 
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[x >= 0].tobytes() for x in found], pa.binary())], names=["label", "found"])
 
     label, held = [], []
-    for row in rows.mapInArrow(present, "label int, found binary").toLocalIterator():
+    for row in rows.mapInArrow(tidied(present), "label int, found binary").toLocalIterator():
         label.append(row["label"])
         held.append(np.frombuffer(row["found"], dtype=np.int32))
     weights, intercept = _logistic(held, np.array(label, dtype=np.float64), ratio)
@@ -184,8 +184,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 p = np.where(np.isneginf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -700, 700))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_column)
+    rows = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInArrow(tidied(run), "id long, score double, predicted int").withColumnRenamed("id", id_column)
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -199,7 +199,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
             for part, raw, at in chunks(batch, text):
                 yield part.filter(pa.array(_totals(raw, at, table, model.intercept) < 0))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(tidied(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
