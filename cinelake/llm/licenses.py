@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A text is brought to words (A-Z lower-cased, everything between words one space). Each rule is a hand-written regular expression
-over words with a keyword; a rule is tried only where its keyword occurs, and only in texts that hold one of a few stems. All places
+over words with a keyword; a rule is tried only where its keyword occurs. All places
 of all tried rules are detections (interval, label, priority, confidence). A detection whose interval lies within that of one with a
 higher priority is suppressed; the labels of the others are reported, together with the base labels, which always stay.
 
@@ -18,8 +18,6 @@ from cinelake.llm.common import documents, lower_ascii
 #: Phrases of the base and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 BASE_CONFIDENCE = 0.6
-#: A text without any of these has no license.
-STEMS = ("licen", "copyright", "copyleft", "redistribut", "warrant", "permission", "public domain", "spdx", "all rights reserved", "creative commons")
 
 #: Rules in order of priority, highest first: confidence, then label | keyword | pattern. Patterns match whole words of normalised
 #: text. Within {}, a rule stands for one rule for each of the listed variants.
@@ -202,6 +200,15 @@ def rules() -> list[tuple[str, str, str, float]]:
     return out + [(label, word, pattern, 0.85) for label, word, pattern in _lines(NOTICES)]
 
 
+def _stems(words: list[str]) -> tuple[str, ...]:
+    """The words that hold no other of them: a text with any of ``words`` has one of these."""
+    return tuple(sorted(x for x in set(words) if not any(y in x for y in set(words) - {x})))
+
+
+#: A text without any of these has no rule's keyword, so no rule is tried.
+STEMS = _stems([word for _, word, _, _ in rules()])
+
+
 def normalised(text: Column) -> Column:
     """Lower-cased words with one space between, before and after them; one space where there is no word."""
     return F.regexp_replace(F.concat(F.lit(" "), lower_ascii(F.coalesce(text, F.lit(""))), F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
@@ -240,9 +247,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """
     rows = docs.select(F.col(id_column).cast("long").alias(id_column), normalised(F.col(text_column).cast("string")).alias("w"))
     rows = rows.withColumn("n_words", F.greatest(_spaces(F.col("w")) - 1, F.lit(0)).cast("long"))
-    marked = F.lit(False)
-    for stem in STEMS:
-        marked = marked | F.contains(F.col("w"), F.lit(stem))
+    marked = F.exists(F.array(*map(F.lit, STEMS)), lambda stem: F.contains(F.col("w"), stem))
     counts, firsts, lasts = [], [], []
     for phrase in BASE:
         there = F.contains(F.col("w"), F.lit(f" {phrase} "))

@@ -294,6 +294,23 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_without_common_words(spark):
+    """Texts whose only hint is a rule's own keyword; every rule tried on every text, without any gate on the text."""
+    texts = {
+        "Released under GPLv3": "gpl-3.0", "CC BY 4.0": "cc-by-4.0", "GNU GPL v2": "gpl-2.0", "LGPLv2.1 or AGPLv3": "agpl-3.0,lgpl-2.1", "BSD 3-Clause": "bsd-3-clause", "WTFPL": "wtfpl", "CC0 1.0": "cc0-1.0",
+        "with the Classpath Exception": "classpath-exception", "GCC Runtime Library Exception": "gcc-exception", "As a special exception, you may link it": "linking-exception", "Commons Clause": "commons-clause",
+        "under the same terms as Perl itself": "perl", "Neither the name of X nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+        "This product includes software developed by the OpenSSL Project": "openssl", "no hint at all": "",
+    }
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["labels"] for x in found} == dict(enumerate(texts.values()))
+    for x, text in zip(sorted(found), texts, strict=True):
+        spaced = " ".join(["", *re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)), ""])
+        every = [(m.start(), m.end(), rank, label) for rank, (label, word, pattern, _) in enumerate(licenses.rules()) if word in spaced for m in re.finditer(f" {pattern}(?= )", spaced)]
+        assert {(y["start"], y["end"], y["rank"], y["label"]) for y in x["detections"]} == {y for y in every if not any(z[0] <= y[0] and y[1] <= z[1] and z[2] < y[2] for z in every)}
+    assert all(any(stem in word for stem in licenses.STEMS) for _, word, _, _ in licenses.rules())
+
+
 def test_license_rules():
     rules = licenses.rules()
     assert len(rules) > 300 and all(re.compile(pattern) and 0 < sure <= 1 for _, _, pattern, sure in rules)
