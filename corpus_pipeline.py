@@ -28,9 +28,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
-    copies = jaccard.link(docs).where("id != component").select(F.col("id").alias("__copy"))
-    return docs.join(copies.hint("shuffle_hash"), last_long("doc_id") == F.col("__copy"), "left_anti")
+    """One row, that with the smallest id, of each group of near copies.
+
+    Each row is judged by its own text, whether its id is null or repeated or not; a null id is the largest. Empty texts all stay.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")  # written, so that numbers stay
+    groups = jaccard.link(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("id").alias("__row"), "component")
+    named = rows.select("__row", last_long("doc_id").alias("__id")).join(groups, "__row")
+    first = named.groupBy("component").agg(F.min(F.struct("__id", "__row")).alias("first")).select("first.__row")
+    return rows.join(first.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's stages on a small table, each against plain Python on what it was given."""
 
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -42,5 +43,17 @@ def test_stages(spark, folder):
         assert df.columns == docs.columns
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(6)]
+    docs = [
+        (1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[1] + " end"), (5, texts[3]), (5, texts[0] + " end"), (5, texts[4]), (9, texts[4]), (7, texts[5]), (7, texts[5]),
+        (None, None), (None, ""), (8, ""),
+    ]
+    found = Counter(rows(corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "")))
+    assert found.pop((None, texts[1]), 0) + found.pop((None, texts[1] + " end"), 0) == 1
+    assert found == Counter([(1, texts[0]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5]), (None, None), (None, ""), (8, "")])
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).where("n_tokens > 0").count() > 0
