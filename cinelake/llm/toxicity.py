@@ -1,13 +1,13 @@
 """Toxicity by a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a byte n-gram of the text (orders 4, 5, 6 and 8; A-Z lower-cased, other ASCII than letters and
-digits as a space, so that starts and ends of words show), hashed to a fixed number of buckets. Over a
-bounded sample of labelled rows the naive Bayes log-count ratio r of each bucket is taken; buckets whose class frequencies do not
-differ significantly are left out, and a logistic regression is fitted on presence times r. A text's score is the logistic of the
-intercept plus the weights of the distinct selected buckets that occur anywhere in it.
+A feature is the presence of an n-gram of characters (code points; orders 4, 5, 6 and 8; A-Z lower-cased, other ASCII than letters and
+digits as a space, so that starts and ends of words show), hashed to 2 ** BITS buckets. Over a bounded sample of labelled rows the
+naive Bayes log-count ratio r of each bucket is taken; buckets whose class frequencies do not differ significantly have no weight, and
+a logistic regression is fitted on presence times r of all others. A text's score is the logistic of the intercept plus the weights of
+the distinct buckets that occur anywhere in it.
 
 Training touches at most ``SAMPLE`` labelled rows, the same for each rerun (those with the least hash of their id). Scoring is a
-map over partitions: no shuffle; the model has at most ``FEATURES`` entries.
+map over partitions: no shuffle; the model has at most 2 ** BITS numbers.
 """
 
 from __future__ import annotations
@@ -28,12 +28,10 @@ BITS = 22
 SLICES = 64
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
-#: Buckets with a weight, at most.
-FEATURES = 4096
-#: Standard errors by which the class frequencies of a bucket must differ.
-SIGNIFICANT = 4.0
+#: Standard errors by which the class frequencies of a bucket must differ, and sampled texts that must have it.
+SIGNIFICANT, LEAST = 5.0, 3
 
-_LOWER = np.arange(256, dtype=np.uint32)
+_LOWER = np.arange(128, dtype=np.uint32)
 _LOWER[65:91] += 32
 _LOWER[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
@@ -50,14 +48,20 @@ class Model:
         return out
 
 
-def grams(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def characters(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, ASCII normalised, and the offsets of the texts in them."""
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+    starts = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+    return np.where(points < 128, _LOWER[np.minimum(points, 127)], points), starts[at]
+
+
+def grams(points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order the bucket at each position, and whether the n-gram ends within its text."""
-    low = _LOWER[raw]
     ends = np.repeat(at[1:], np.diff(at))
-    room = ends - np.arange(len(raw))
-    h = low.copy()
+    room = ends - np.arange(len(points))
+    h = points.copy()
     for n in range(1, ORDERS[-1]):
-        h = h[:-1] * np.uint32(0x9E3779B1) + low[n:]
+        h = h[:-1] * np.uint32(0x9E3779B1) + points[n:]
         if n + 1 in ORDERS:
             mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
             yield mixed >> np.uint32(32 - BITS), room[: len(h)] > n
@@ -65,7 +69,8 @@ def grams(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
 
 def _presence(raw: np.ndarray, at: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
     """For each text the distinct buckets in it. place: room for a number for each bucket, whose contents do not matter."""
-    every = list(grams(raw, at)) if len(raw) else []
+    points, at = characters(raw, at)
+    every = list(grams(points, at)) if len(points) else []
     for k in range(len(at) - 1):
         own = np.concatenate([b[at[k] : at[k + 1]][ok[at[k] : at[k + 1]]] for b, ok in every]) if every else np.zeros(0, np.uint32)
         order = np.arange(len(own), dtype=np.int32)
@@ -86,7 +91,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _significance(n: np.ndarray):
-    """Of a group of buckets, those whose class frequencies differ: bucket, log-count ratio, standard errors apart."""
+    """Of a group of buckets, those whose class frequencies differ, and their log-count ratios, packed."""
 
     def run(table: pa.Table) -> pa.Table:
         counts = np.zeros((2, (1 << BITS) // SLICES), dtype=np.int64)
@@ -95,15 +100,17 @@ def _significance(n: np.ndarray):
         both = counts.sum(0) / n.sum()
         error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
         sure = np.abs(counts[1] / n[1] - counts[0] / n[0]) / error
-        found = np.flatnonzero((sure > SIGNIFICANT) & (counts.sum(0) >= 5))
+        found = np.flatnonzero((sure > SIGNIFICANT) & (counts.sum(0) >= LEAST))
         rate = (counts[:, found] + 1) / (n + 2)[:, None]
-        return pa.table({"bucket": pa.array(found + table.column("slice")[0].as_py() * counts.shape[1], pa.int64()), "ratio": np.log(rate[1] / rate[0]), "sure": sure[found]})
+        bucket = found.astype(np.int64) + table.column("slice")[0].as_py() * counts.shape[1]
+        return pa.table({"buckets": pa.array([bucket.tobytes()], pa.binary()), "ratios": pa.array([np.log(rate[1] / rate[0]).tobytes()], pa.binary())})
 
     return run
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The bounded sample of labelled texts: label (0/1), text. Rows held out (crc32(doc_id) mod 5 = 0) never take part."""
+    """The bounded sample of labelled texts: label (0/1), text. Rows held out (crc32(doc_id) mod 5 = 0) never take part, nor do labels
+    that are null or of a null id. Of several labels of an id the largest counts; each row of a repeated id is a text of its own."""
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label in (0, 1)").where(crc_mod("id", 5) != 0)
     some = marked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -118,13 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         n[row["label"]] = row["count"]
     if not n.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
-    found = rows.mapInArrow(tidied(_frequencies), "slice long, counts binary").groupBy("slice").applyInArrow(_significance(n), "bucket long, ratio double, sure double")
-    best = sorted(found.orderBy(F.desc("sure"), "bucket").limit(FEATURES).collect())
-    chosen, ratio = np.array([x["bucket"] for x in best], dtype=np.int64), np.array([x["ratio"] for x in best])
+    found = rows.mapInArrow(tidied(_frequencies), "slice long, counts binary").groupBy("slice").applyInArrow(_significance(n), "buckets binary, ratios binary").collect()  # at most 2 ** BITS
+    chosen, ratio = np.concatenate([np.frombuffer(x["buckets"], np.int64) for x in found]), np.concatenate([np.frombuffer(x["ratios"]) for x in found])
+    order = np.argsort(chosen)
+    chosen, ratio = chosen[order], ratio[order]
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, place = np.full(1 << BITS, -1, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
-        column[chosen] = np.arange(len(chosen))
+        column[sent.value] = np.arange(len(sent.value))
         for batch in batches:
             for part, raw, at in chunks(batch, 1):
                 found = [np.sort(column[seen]) for seen in _presence(raw, at, place)]
@@ -138,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(chosen, weights * ratio, intercept)
 
 
-def _logistic(held: list[np.ndarray], label: np.ndarray, scale: np.ndarray, steps: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+def _logistic(held: list[np.ndarray], label: np.ndarray, scale: np.ndarray, steps: int = 1000, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept of the penalised logistic regression on presence times ``scale``, by accelerated gradient descent."""
     order = sorted(range(len(held)), key=lambda k: (label[k], held[k].tobytes()))  # the rows' order must not change the result
     held, label = [held[k] for k in order], label[order]
@@ -162,7 +171,8 @@ def _logistic(held: list[np.ndarray], label: np.ndarray, scale: np.ndarray, step
 def _totals(raw: np.ndarray, at: np.ndarray, table: np.ndarray, intercept: float) -> np.ndarray:
     """For each text the intercept and the weights of the distinct selected buckets in it."""
     keys = [np.zeros(0, np.int64)]
-    for bucket, ok in grams(raw, at):
+    points, at = characters(raw, at)
+    for bucket, ok in grams(points, at):
         hit = np.flatnonzero((table[bucket] != 0) & ok)
         keys.append((np.searchsorted(at, hit, side="right") - 1) << BITS | bucket[hit])
     key = np.unique(np.concatenate(keys))
@@ -176,11 +186,13 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     ids are returned as they are, other columns are ignored, an empty table gives an empty result.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS weights
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
+        table, intercept = sent.value.table(), sent.value.intercept
         for batch in batches:
             for part, raw, at in chunks(batch, 1):
-                total = _totals(raw, at, table, model.intercept)
+                total = _totals(raw, at, table, intercept)
                 p = np.where(np.isneginf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -700, 700))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
@@ -192,12 +204,13 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with the same columns, whose text is not predicted toxic; a null text stays or goes as an empty one."""
     names, schema = docs.columns, docs.schema
     text = names.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
+        table, intercept = sent.value.table(), sent.value.intercept
         for batch in batches:
             for part, raw, at in chunks(batch, text):
-                yield part.filter(pa.array(_totals(raw, at, table, model.intercept) < 0))
+                yield part.filter(pa.array(_totals(raw, at, table, intercept) < 0))
 
     return small_batches(docs).mapInArrow(tidied(run), schema)
 
