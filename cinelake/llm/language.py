@@ -1,11 +1,12 @@
 """Language identification by compression: the language whose dictionary makes a text smallest wins.
 
-For each language a raw-content dictionary of bounded size is put together from a bounded number of labelled texts. A text is
-compressed by zstandard once with each dictionary, in blocks so that a long text does not become its own dictionary; the language
-with the smallest total is chosen, and the choice is marked as rejected where the next best is nearly as small.
+For each language a raw-content dictionary is put together from a bounded number of labelled texts. A text is compressed by zstandard
+once with each dictionary, in blocks so that a long text does not become its own dictionary; the language with the smallest total is
+chosen, and the choice is marked as rejected where the next best is nearly as small.
 
-Learning reads at most ``ROWS`` texts a language. Prediction is a map over partitions without a shuffle; what each task is sent is
-one dictionary of at most ``DICTIONARY`` bytes for each language.
+A dictionary has at most ``DICTIONARY`` bytes, what zstandard looks back at. Of the at most ``ROWS`` texts a language, the shorter
+ones are taken whole, and of the others, which would not all fit, equal shares in pieces that are spread evenly over the whole text.
+Prediction is a map over partitions without a shuffle; what each task is sent is one dictionary for each language.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from cinelake.llm.common import crc_mod, documents
 ROWS = 200
 #: Bytes of a dictionary, at most.
 DICTIONARY = 64_000
-#: Bytes that one text gives to a dictionary, at most.
-SHARE = 2_000
+#: Bytes of a piece of a text that does not fit whole.
+PIECE = 400
 #: Bytes compressed at a time.
 BLOCK = 4_000
 LEVEL = 9
@@ -35,7 +36,10 @@ UNKNOWN = "und"
 
 
 def learn(docs: DataFrame, learnable: Column, rows: int = ROWS) -> dict[str, bytes]:
-    """A dictionary for each non-null ``lang`` among the rows where ``learnable`` holds, from the ``rows`` rows with least id hash."""
+    """A dictionary for each non-null ``lang`` among the rows where ``learnable`` holds, from the ``rows`` rows with least id hash.
+
+    Rows with a null id, lang or text are not learned from. Rows of a repeated id are texts of their own, in order of text, as far as
+    ``rows`` goes. An empty table gives no dictionaries."""
     ids = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("id")).where("id is not null")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     some = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("id").distinct()
@@ -44,13 +48,28 @@ def learn(docs: DataFrame, learnable: Column, rows: int = ROWS) -> dict[str, byt
 
     def build(table: pa.Table) -> pa.Table:
         texts = sorted(zip(table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True))[:rows]
-        share = max(SHARE, DICTIONARY // max(1, len(texts)))
-        whole = b"\n".join(text.lower().encode()[:share] for _, text in texts)[-DICTIONARY:]
+        whole = b"".join(shares([text.lower().encode() + b"\n" for _, text in texts]))
         return pa.table({"lang": [table.column("lang")[0].as_py()], "dictionary": pa.array([whole], pa.binary())})
 
     return {row["lang"]: bytes(row["dictionary"]) for row in found.groupBy("lang").applyInArrow(build, "lang string, dictionary binary").collect()}
 
 
+def shares(texts: list[bytes], room: int | None = None) -> list[bytes]:
+    """Of each text what it gives to a dictionary of ``room`` bytes (DICTIONARY): all of it where it is no longer than its share, else
+    evenly spaced pieces of it. What short texts leave goes to the longer ones."""
+    room = DICTIONARY if room is None else room
+    out: dict[int, bytes] = {}
+    for done, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
+        share, text = room // (len(texts) - done), texts[k]
+        if len(text) > share:
+            n = max(1, share // PIECE)
+            size = share // n
+            text = b"".join(text[at : at + size] for at in ((len(text) - size) * j // max(1, n - 1) for j in range(n)))
+        out[k] = text
+        room -= len(text)
+    return [out[k] for k in range(len(texts))]
+
+
 class Judge:
     """Compressors by language, in the order of the languages' names."""
 
