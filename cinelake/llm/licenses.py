@@ -5,11 +5,15 @@ over words with a keyword; a rule is tried only where its keyword occurs. All pl
 of all tried rules are detections (interval, label, priority, confidence). A detection whose interval lies within that of one with a
 higher priority is suppressed; the labels of the others are reported, together with the base labels, which always stay.
 
-Everything is computed within the row: no shuffle, no join, no Python. The rules are a constant of fixed size.
+Everything is computed within the row: no shuffle, no join, no Python. The rules are a constant of fixed size. A text is gone through
+once for each rule whose keyword it has. Detections are sorted by start and cut to runs of RUN; a run is compared only with runs whose
+span reaches it, so the work grows with the number of detections, not with its square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,9 @@ from cinelake.llm.common import documents, lower_ascii
 #: Phrases of the base and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 BASE_CONFIDENCE = 0.6
+#: Detections that are kept together where they are compared.
+RUN = 64
+DETECTION = "struct<start:int,end:int,rank:int,label:string,confidence:double>"
 
 #: Rules in order of priority, highest first: confidence, then label | keyword | pattern. Patterns match whole words of normalised
 #: text. Within {}, a rule stands for one rule for each of the listed variants.
@@ -218,24 +225,69 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _none(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _cut(items: Column) -> Column:
+    """An array as runs of RUN items; one empty run of an empty array."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / RUN).cast("int") - 1, F.lit(0))), lambda k: F.slice(items, k * RUN + 1, F.lit(RUN)))
+
+
 def _detections(text: Column) -> Column:
-    """Array of (start, end, rank, label, confidence) of all places of all rules whose keyword occurs."""
+    """Array of (start, end, rank, label, confidence) of all places of all rules whose keyword occurs, in order."""
     table = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(label).alias("label"), F.lit(word).alias("word"), F.lit(f" {pattern}(?= )").alias("pattern"), F.lit(confidence).alias("confidence")) for rank, (label, word, pattern, confidence) in enumerate(rules())])
 
     def places(rule: Column) -> Column:
-        found, rest = F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.split(text, rule["pattern"], -1)
-        empty = F.array().cast("array<struct<start:int,end:int,rank:int,label:string,confidence:double>>")
+        # what is before each place and the place itself, as lengths; after the last place there is none
+        pieces = F.zip_with(F.split(text, rule["pattern"], -1), F.regexp_extract_all(text, rule["pattern"], F.lit(0)), lambda rest, found: F.struct(F.length(rest).alias("skip"), F.length(found).alias("size")))
+        added = lambda total, x: total + x["skip"] + x["size"]
+
+        def placed(runs: Column, before: Column) -> Column:
+            """A place starts after all runs before its own, all before it in its run, and what is skipped. Sums by runs, so no long array
+            is gone through for each place."""
+
+            def of_run(run: Column, k: Column) -> Column:
+                def place(base: Column) -> Column:
+                    def one(x: Column, n: Column) -> Column:
+                        start = base + F.aggregate(F.slice(run, F.lit(1), n), F.lit(0), added) + x["skip"]
+                        return F.struct(start.alias("start"), (start + x["size"]).alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
+
+                    return F.transform(run, one)
 
-        def step(state: Column, k: Column) -> Column:
-            start = state["at"] + F.length(F.element_at(rest, k))
-            end = start + F.length(F.element_at(found, k))
-            own = F.struct(start.alias("start"), end.alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
+                return _let(F.aggregate(F.slice(before, F.lit(1), k), F.lit(0), lambda total, x: total + x), place)
 
-        ordinals = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(ordinals, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda state: state["out"])
+            return F.flatten(F.transform(runs, of_run))
 
-    return F.flatten(F.transform(F.filter(table, lambda rule: F.contains(text, rule["word"])), places))
+        whole = F.filter(pieces, lambda x: x["size"].isNotNull())
+        return _let(_let(whole, _cut), lambda runs: _let(F.transform(runs, lambda run: F.aggregate(run, F.lit(0), added)), lambda before: placed(runs, before)))
+
+    found = F.flatten(F.transform(F.filter(table, lambda rule: F.contains(text, rule["word"])), places))
+    return F.array_sort(found.cast(f"array<{DETECTION}>"))
+
+
+def _runs(detections: Column) -> Column:
+    """Sorted detections as runs: own (array), first and last start, least and greatest end."""
+    ends = lambda run: F.transform(run, lambda x: x["end"])
+    runs = F.filter(_let(detections, _cut), lambda run: F.size(run) > 0)
+    return F.transform(runs, lambda run: F.struct(run.alias("own"), run[0]["start"].alias("first"), F.element_at(run, -1)["start"].alias("last"), F.array_min(ends(run)).alias("least"), F.array_max(ends(run)).alias("greatest")))
+
+
+def _unsuppressed(runs: Column) -> Column:
+    """The detections that lie in none of a higher priority."""
+    within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["rank"] < x["rank"])
+
+    def kept(every: Column) -> Column:
+        reaching = lambda run: F.filter(every, lambda other: (other["first"] <= run["last"]) & (other["greatest"] >= run["least"]))
+        met = F.transform(every, lambda run: F.struct(run["own"].alias("own"), F.flatten(F.transform(reaching(run), lambda other: other["own"])).alias("near")))
+        return F.flatten(F.transform(met, lambda x: F.filter(x["own"], lambda one: ~F.exists(x["near"], lambda y: within(one, y)))))
+
+    return _let(runs, kept)
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -243,7 +295,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     ``score`` and ``detections`` (array of start, end, rank, label, confidence; characters of the normalised text).
 
     A null or empty text has no words and no places: counts and score are 0, positions null, labels empty. Null and repeated ids are
-    returned as they are, other columns are ignored, an empty table gives an empty result. Equal intervals keep the first rule.
+    returned as they are, other columns, however they are named, are ignored, an empty table gives an empty result. Equal intervals keep
+    the first rule. A very long text is looked at whole, within its row; its detections are held in memory.
     """
     rows = docs.select(F.col(id_column).cast("long").alias(id_column), normalised(F.col(text_column).cast("string")).alias("w"))
     rows = rows.withColumn("n_words", F.greatest(_spaces(F.col("w")) - 1, F.lit(0)).cast("long"))
@@ -258,10 +311,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     base = F.array_compact(F.array(*[F.when(count > 0, F.lit(label)) for count, label in zip(counts, BASE.values(), strict=True)]))
     rows = rows.select(
         id_column, "n_words", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct(base)).alias("base"), F.when(marked, _detections(F.col("w"))).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,label:string,confidence:double>>")).alias("all"),
+        F.array_sort(F.array_distinct(base)).alias("base"), _runs(F.when(marked, _detections(F.col("w"))).otherwise(_none(f"array<{DETECTION}>"))).alias("runs"),
     )
-    within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["rank"] < x["rank"])
-    rows = rows.withColumn("detections", F.filter("all", lambda x: ~F.exists("all", lambda y: within(x, y))))
+    rows = rows.withColumn("detections", _unsuppressed(F.col("runs")))
     labels = F.array_sort(F.array_union(F.col("base"), F.transform("detections", lambda x: x["label"])))
     sure = F.coalesce(F.array_max(F.transform("detections", lambda x: x["confidence"])), F.lit(0.0))
     return rows.select(
