@@ -4,19 +4,23 @@ A bounded sample of the vectors gives a neighbour graph (largest inner products)
 with few edges between them; and a small classifier learns from a vector in which partitions its neighbours are. Every row is put
 in the partition that the classifier finds most probable, and a query is compared with all rows of its several most probable
 partitions; the number of these is the least with which held-out vectors of the sample reach the wanted recall against brute force.
+Of several numbers of partitions that is taken which has the smallest share of the rows looked at. A query whose partitions hold fewer
+rows than it wants goes on to the next most probable ones.
 
 Rows and queries of a partition meet in blocks of bounded size, and each block sends on only the best of each query. Of the
-corpus, the driver sees the sample and the sizes of the partitions.
+corpus, the driver sees the sample and the sizes of the partitions. A sample with fewer than LEAST vectors a partition for every number
+of partitions gives one partition, that is an exhaustive search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import embeddings, stored
@@ -24,7 +28,8 @@ from cinelake.llm.vectors import matrix, sample, usable
 
 #: Vectors that the index is fitted on, at most; one in eight of them is held out to choose the number of partitions to look in.
 SAMPLE = 8192
-PARTITIONS = 16
+#: Numbers of partitions that are tried, and sampled vectors of each that are needed.
+PARTITIONS, LEAST = (16, 64), 8
 #: Neighbours of a vector in the graph.
 DEGREE = 16
 HIDDEN = 64
@@ -126,24 +131,31 @@ def _learned(x: np.ndarray, goal: np.ndarray, seed: int = 7, epochs: int = 40) -
     return (scale, *weights)
 
 
-def fit(x: np.ndarray, k: int = 20, parts: int = PARTITIONS, recall: float = RECALL) -> Index:
+def fit(x: np.ndarray, k: int = 20, parts: tuple[int, ...] = PARTITIONS, recall: float = RECALL) -> Index:
     """The index fitted on a sample. With few vectors there is one partition, which holds all."""
     held = np.arange(len(x)) % 8 == 7
     rows, asked = x[~held], x[held]
-    if len(rows) < 8 * parts or len(rows) <= max(DEGREE, k) or parts < 2:
-        return Index((np.array(1.0), np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1, 1.0)
-    graph = _nearest(rows, rows, DEGREE, True)
-    part = balanced(rows, graph, parts)
-    goal = np.zeros((len(rows), parts))
-    for column in range(DEGREE):
-        goal[np.arange(len(rows)), part[graph[:, column]]] += 1 / DEGREE
-    index = Index(_learned(rows, goal), parts, 1.0)
-    home, wanted = index.order(rows)[:, 0], _nearest(asked, rows, k, False)
-    looked = np.argsort(index.order(asked), axis=1)  # in which place a query looks in a partition
-    found = np.sort(np.take_along_axis(looked, home[wanted], axis=1).ravel())
-    reached = [(np.searchsorted(found, probes) / len(found), probes) for probes in range(1, parts + 1)]
-    least = next(x for x in reached if x[0] >= recall or x[1] == parts)
-    return Index(index.layers, least[1], float(least[0]))
+    best, share = Index((np.array(1.0), np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1, 1.0), 1.0
+    if len(rows) <= max(DEGREE, k):
+        return best
+    graph, wanted = _nearest(rows, rows, DEGREE, True), _nearest(asked, rows, k, False)
+    for count in parts:
+        if len(rows) < LEAST * count or count < 2:
+            continue
+        part = balanced(rows, graph, count)
+        goal = np.zeros((len(rows), count))
+        for column in range(DEGREE):
+            goal[np.arange(len(rows)), part[graph[:, column]]] += 1 / DEGREE
+        index = Index(_learned(rows, goal), count, 1.0)
+        home = index.order(rows)[:, 0]
+        order = index.order(asked)
+        looked = np.argsort(order, axis=1)  # in which place a query looks in a partition
+        found = np.sort(np.take_along_axis(looked, home[wanted], axis=1).ravel())
+        sizes = np.cumsum(np.bincount(home, minlength=count)[order], axis=1).mean(axis=0) / len(rows)
+        probes = next(n for n in range(1, count + 1) if np.searchsorted(found, n) >= recall * len(found) or n == count)
+        if best.probes == 1 and share == 1.0 or sizes[probes - 1] < share:
+            best, share = Index(index.layers, probes, float(np.searchsorted(found, probes) / len(found))), float(sizes[probes - 1])
+    return best
 
 
 def _best(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,43 +192,54 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, index: Index | None
     """The ``k`` rows with the largest inner products found for each query: ``query``, ``rank`` (from 1), ``id``, ``score``.
 
     Both inputs have ``id`` and ``v``, as ``vectors.usable`` gives them; a row is no neighbour of the query of the same id, and
-    ties go to the smaller id. Rows and queries whose dimension is not that of most sampled rows take no part. A query has all rows
-    where there are no more than ``k`` in the partitions that it looks in. Empty inputs give an empty result.
+    ties go to the smaller id. Rows and queries of different dimensions do not meet; each dimension has an index of its own. A query
+    has all rows where there are no more than ``k``. Empty inputs give an empty result.
     """
+    sizes = [row["size"] for row in queries.select(F.octet_length("v").alias("size")).distinct().collect()]  # a row for each dimension
+    parts = [_search(rows.where(F.octet_length("v") == size), queries.where(F.octet_length("v") == size), k, index) for size in sizes]
+    return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], "query long, rank int, id long, score double")
+
+
+def _search(rows: DataFrame, queries: DataFrame, k: int, index: Index | None) -> DataFrame:
     spark = rows.sparkSession
-    ids, x = sample(rows, SAMPLE)
-    index = index or fit(x, k)
-    width = 8 * x.shape[1]
+    if index is None:
+        x = sample(rows, SAMPLE)[1]
+        if not len(x):
+            return spark.createDataFrame([], "query long, rank int, id long, score double")
+        index = fit(x, k)
     model = spark.sparkContext.broadcast(index)
 
-    def placed(probes: int):
+    def placed(held: np.ndarray | None):
+        """The most probable partition of each row; of a query those to look in, so many that they hold ``k`` rows besides its own."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    order = model.value.order(matrix(batch.column(1).to_pylist()))[:, :probes]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "parts"])
+                    order = model.value.order(matrix(batch.column(1).to_pylist())).astype(np.int32)
+                    if held is None:
+                        own = list(order[:, :1])
+                    else:
+                        enough = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
+                        own = [x[: max(index.probes, n)] for x, n in zip(order, enough.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32()))], names=["id", "v", "parts"])
 
         return run
 
     schema = "id long, v binary, parts array<int>"
-    at = stored(rows.where(F.octet_length("v") == width).mapInArrow(placed(1), schema), "ann-rows").select("id", "v", F.explode("parts").alias("part"))
-    asked = stored(queries.where(F.octet_length("v") == width).mapInArrow(placed(index.probes), schema), "ann-queries").select("id", "v", F.explode("parts").alias("part"))
-
-    def pieces(df: DataFrame, most: int) -> dict[int, int]:
-        """For each partition the number of pieces of about ``most`` rows."""
-        return {row["part"]: row["n"] for row in df.groupBy("part").agg(F.ceil(F.count("*") / most).cast("int").alias("n")).collect()}
-
-    n_rows, n_asked = pieces(at, ROWS), pieces(asked, QUERIES)
-    sizes = {part: (n_rows.get(part, 1), n_asked.get(part, 1)) for part in {*n_rows, *n_asked}}
-    table = spark.createDataFrame([(p, a, b) for p, (a, b) in sizes.items()], "part int, n_rows int, n_asked int")
+    at = stored(rows.mapInArrow(placed(None), schema), "ann-rows").select("id", "v", F.explode("parts").alias("part"))
+    counts = {row["part"]: row["count"] for row in at.groupBy("part").count().collect()}  # a row for each partition
+    held = np.array([counts.get(p, 0) for p in range(index.layers[-1].shape[0])], dtype=np.int64)
+    asked = stored(queries.mapInArrow(placed(held), schema), "ann-queries").select("id", "v", F.explode("parts").alias("part"))
+    n_asked = {row["part"]: -(-row["count"] // QUERIES) for row in asked.groupBy("part").count().collect()}
+    table = spark.createDataFrame([(p, max(1, -(-counts.get(p, 0) // ROWS)), n_asked.get(p, 1)) for p in {*counts, *n_asked}], "part int, n_rows int, n_asked int")
     sized = F.broadcast(table)  # a row for each partition
     left = at.join(sized, "part").select("id", "v", "part", F.pmod(F.xxhash64("id"), "n_rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asked").cast("long") - 1)).alias("j"))
     right = asked.join(sized, "part").select("id", "v", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows").cast("long") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "n_asked").alias("j"))
     key = ["part", "i", "j"]
     blocks = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_compare(k), "query long, ids array<long>, scores array<double>")
-    pairs = F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("id")))
-    best = blocks.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))
-    return best.select("query", F.posexplode("best").alias("k", "x")).select("query", (F.col("k") + 1).alias("rank"), F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"))
+    pairs = blocks.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))  # the best k of each task go on, no more
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
 def recall(found: DataFrame, rows: DataFrame, queries: DataFrame, k: int = 20) -> float:
