@@ -11,10 +11,14 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere is
    on are sorted: multikey quicksort to a shallow depth, then a blind trie for each group that is still tied. The trie gives
    common prefixes; with the order of what is before the anchors, each anchor gets the windows that it shares with any other.
    Sets of suffixes are joined from the longest common prefix down, small into large, so no pairs are listed.
-4. The runs of repeated windows come back to their documents, where the bytes that they cover are removed.
-
-Grams are counted and joined by ordinary aggregates and joins, whose hot keys are summed up or split; contexts of one gram that all
-differ are sorted together in one task.
+4. A gram with more than WIDE kinds of contexts (the edge of a passage that very many documents share) is not sorted in one task:
+   equal windows have their anchor at the same offset, so its contexts are cut to slices of SLICES[0] offsets, each with a narrower
+   gram, the bytes that all windows of the slice have; slices are settled like anchors, by steps 2 and 3. What is still wide is cut
+   to single windows, which are equal or not.
+5. The runs of repeated windows come back to their documents, where the bytes that they cover are removed.
+
+Grams are counted by aggregates, which sum up hot keys before the shuffle, and met again by joins of plain tables, which Spark splits
+where a key is hot. No task holds more than WIDE kinds of one gram.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,8 @@ GRAM = 128
 PLACES = LENGTH - GRAM + 1
 #: Bytes after the gram that multikey quicksort looks at.
 SHALLOW = 16
+#: Kinds of contexts of one gram that are sorted together, at most, and the offsets of a slice of a gram with more, step by step.
+WIDE, SLICES = 4096, (16, 1)
 #: Bytes of one text that are looked at together, at most, and the bits of a place in them.
 PIECE, PLACE_BITS = 8_000_000, 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -169,6 +176,26 @@ def blind_trie(texts: list[bytes], members: list[int]) -> tuple[list[int], list[
     return order, prefix[1:]
 
 
+def multikey_quicksort(keys: np.ndarray, small: int = 24) -> np.ndarray:
+    """The order of the rows of ``keys``, column by column: rows equal to the pivot go on to the next column. Few rows are sorted at once."""
+    out: list[int] = []
+    stack = [(np.arange(len(keys)), 0)]
+    while stack:
+        rows, depth = stack.pop()
+        if len(rows) <= small or depth == keys.shape[1]:
+            own = rows.tolist()
+            if depth < keys.shape[1] and len(own) > 1:
+                tails = dict(zip(own, keys[rows, depth:].tolist(), strict=True))
+                own.sort(key=tails.__getitem__)
+            out += own
+            continue
+        column = keys[rows, depth]
+        pivot = np.sort(column[[0, len(rows) // 2, -1]])[1]
+        low, high = column < pivot, column > pivot
+        stack += [(rows[high], depth), (rows[~(low | high)], depth + 1), (rows[low], depth)]
+    return np.array(out, dtype=np.int64)
+
+
 def deep_shallow(texts: list[bytes], groups: np.ndarray) -> list[tuple[list[int], list[int]]]:
     """For each run of equal ``groups`` (ascending) its texts' places in order, and their common prefixes with the one before.
 
@@ -179,8 +206,9 @@ def deep_shallow(texts: list[bytes], groups: np.ndarray) -> list[tuple[list[int]
         wide[k, : min(SHALLOW, len(text))] = np.frombuffer(text[:SHALLOW], dtype=np.uint8)
     words = wide.view(">u8").astype(np.uint64)
     size = np.minimum(np.array([len(x) for x in texts]), SHALLOW)
-    order = np.lexsort((size, *[words[:, k] for k in range(words.shape[1] - 1, -1, -1)], groups))
-    key = np.column_stack([groups.astype(np.uint64), words, size.astype(np.uint64)])[order]
+    key = np.column_stack([groups.astype(np.uint64), words, size.astype(np.uint64)])
+    order = multikey_quicksort(key)
+    key = key[order]
     tied = np.append(False, (key[1:] == key[:-1]).all(axis=1))
     out: list[tuple[list[int], list[int]]] = []
     cuts = np.append(np.flatnonzero(~tied), len(order)).tolist()
@@ -290,30 +318,75 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sliced(width: int):
+    """Contexts of the wanted anchors cut to slices of ``width`` offsets, as anchors of their own: the windows of a slice start at most
+    ``width`` - 1 bytes apart, and the slice's gram is a hash of the bytes that all of them have. Columns in: id, th, text, wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw = (batch.column(2)[k].as_py() or "").encode()
+                grams, contexts, places = [], [], []
+                for x in batch.column(3)[k].as_py():
+                    a, first, last = x["a"], x["first"], x["last"]
+                    for part in range((a - last) // width, (a - first) // width + 1):
+                        low, high = max(first, a - part * width - width + 1), min(last, a - part * width)
+                        grams.append(digest(raw[a - part * width : a - part * width - width + 1 + LENGTH] + b"%d %d" % (x["gram"], part)))
+                        contexts.append(digest(raw[low : high + LENGTH] + b"%d %d" % (a - low, high - low)))
+                        places.append((a, low, high))
+                n = len(grams)
+                hashes = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (grams, contexts)]
+                numbers = np.array(places, dtype=np.int32).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(c)[k].as_py()] * n, pa.int64()) for c in (0, 1)] + hashes + [pa.array(numbers[:, c]) for c in range(3)], names=["id", "th", "gram", "context", "a", "first", "last"])
+
+    return run
+
+
+ANCHORS = "id long, th long, gram long, context long, a int, first int, last int"
+
+
 def repeated(texts: DataFrame) -> DataFrame:
     """Runs of windows that also start elsewhere: ``id``, ``th``, ``first``, ``last``; ``texts`` has ``id``, ``th``, ``text``."""
-    found = texts.mapInArrow(_found, "id long, th long, gram long, context long, a int, first int, last int")
+    return stored(_settled(texts, stored(texts.mapInArrow(_found, ANCHORS), "suffix-found"), SLICES), "suffix-runs")
+
+
+def _settled(texts: DataFrame, found: DataFrame, slices: tuple[int, ...]) -> DataFrame:
+    """The repeated runs of the anchors ``found``. Tables that are met by a hot key are written first, so that Spark can split it."""
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
-    again = stored(found.join(grams.select("gram", (F.col("least") < F.col("most")).alias("several")), "gram"), "suffix-anchors")
+    grams = stored(grams.select("gram", (F.col("least") < F.col("most")).alias("several")), "suffix-grams")
+    again = stored(found.join(grams, "gram"), "suffix-anchors")
     whole = again.where("not several").select("id", "th", "first", "last")
     several = again.where("several")
     kinds = several.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("id", "th", "a", "first", "last")).alias("x"))
     kinds = stored(kinds.select("gram", "context", "times", "x.*"), "suffix-kinds")
-    twice = several.join(kinds.where("times > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("id", "th", "first", "last")
-    wanted = kinds.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("gram", "times", "a", "first", "last")).alias("wanted"))
-    there = texts.join(wanted.hint("shuffle_hash"), (F.col("id") == F.col("wid")) & (F.col("th") == F.col("wth"))).select("id", "th", "text", "wanted")
-    contexts = there.mapInArrow(_cut, "gram long, id long, th long, times long, a int, first int, last int, bytes binary")
+    twice = stored(kinds.where("times > 1").select("gram", "context"), "suffix-twice")
+    out = whole.union(several.join(twice, ["gram", "context"], "left_semi").select("id", "th", "first", "last"))
+    if not slices:
+        return out  # grams of single windows are the windows themselves
+    wide = stored(kinds.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("gram"), "suffix-wide")
+    if not wide.isEmpty():
+        cut = _with_text(texts, kinds.join(wide, "gram", "left_semi")).mapInArrow(_sliced(slices[0]), ANCHORS)
+        out = out.union(_settled(texts, stored(cut, "suffix-slices"), slices[1:]))
+        kinds = kinds.join(wide, "gram", "left_anti")
+    contexts = _with_text(texts, kinds).mapInArrow(_cut, "gram long, id long, th long, times long, a int, first int, last int, bytes binary")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_sorted, "id long, th long, first int, last int")
-    return stored(whole.union(twice).union(part), "suffix-runs")
+    return out.union(contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_sorted, "id long, th long, first int, last int"))
+
+
+def _with_text(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The texts that hold the chosen context of a kind, with these as ``wanted``."""
+    wanted = kinds.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("gram", "times", "a", "first", "last")).alias("wanted"))
+    return texts.join(wanted.hint("shuffle_hash"), (F.col("id") == F.col("wid")) & (F.col("th") == F.col("wth"))).select("id", "th", "text", "wanted")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (long) and ``kept`` (binary, what remains).
 
     A byte goes where a string of LENGTH bytes that covers it also starts at another place of any text, also overlapping and in the
-    same text; rows with the same id or text are texts of their own. A null text is empty; texts shorter than LENGTH are kept whole.
-    Other columns are ignored. An empty table gives an empty result.
+    same text; rows with the same id or text are texts of their own. Ties are none: of equal strings all go, the first one too. A null
+    text is empty; texts shorter than LENGTH are kept whole; a very long one is looked at in overlapping pieces. A null id is returned
+    as it is. Other columns, however they are named, are ignored. An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), last_long("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("th", F.xxhash64("id", "text"))
