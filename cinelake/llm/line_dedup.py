@@ -7,13 +7,15 @@
 3. Only lines whose hash the second filter holds are suspected; only their digests are shuffled, and confirmed exactly: a digest
    held by two documents or more is a repeat, and the smallest id that holds it keeps it.
 
-The filters' size is a parameter with a fixed bound. Beyond about a distinct line for each eight bits, more lines are suspected
-and shuffled; the result is the same.
+The filters have PER_LINE bits for each line, rounded up to a power of two, and at most 2 ** MOST bits, so that what is broadcast has
+a bound. Beyond it (some 130 million lines) more lines are suspected and shuffled; the result is the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
@@ -23,14 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import documents, last_long, small_batches, tidied
+from cinelake.llm.common import documents, last_long, small_batches, stored, tidied
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Code points that a key must have.
 LEAST = 10
-#: The filters have 2 ** BITS bits each (16 MB), in 2 ** SEGMENT_BITS segments.
-BITS, SEGMENT_BITS = 27, 6
-INNER = BITS - SEGMENT_BITS
+#: Bits of each filter for a line of the table, and the least and the most bits of a filter as powers of two (128 MB).
+PER_LINE, FEWEST, MOST = 8, 20, 30
 #: Hashes that a task gathers before it sends them on.
 GATHERED = 400_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -42,17 +43,41 @@ def line_key(line: str) -> bytes | None:
     return key.encode().lower() if len(key) >= LEAST else None  # bytes.lower() changes A-Z alone
 
 
-def _places(hashes: np.ndarray) -> np.ndarray:
-    """For each hash its three bits within its segment."""
-    return (hashes[None, :] * _MIX[:, None]) >> np.uint64(64 - INNER)
+@dataclass(frozen=True)
+class Size:
+    """Filters of 2 ** ``bits`` bits, in segments of at most 2 ** 21 by the first bits of a hash."""
 
+    bits: int
 
-def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @property
+    def head(self) -> int:
+        return max(6, self.bits - 21)
+
+    @property
+    def inner(self) -> int:
+        return self.bits - self.head
+
+    def segment(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.head)).astype(np.int64)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """For each hash its three bits within its segment."""
+        return (hashes[None, :] * _MIX[:, None]) >> np.uint64(64 - self.inner)
+
+
+def filter_size(docs: DataFrame) -> Size:
+    """From the number of lines of all texts, which is no less than that of distinct keys."""
+    text = F.col("text").cast("string")
+    lines = docs.agg(F.sum(1 + F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))))).first()[0] or 0
+    return Size(min(MOST, max(FEWEST, (PER_LINE * lines).bit_length())))
+
+
+def _sent(size: Size, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once, twice = set(), set()
 
     def flush() -> pa.RecordBatch:
         a, b = (np.sort(np.fromiter(x, np.uint64, len(x))) for x in (once - twice, twice))
-        cuts = np.arange(1, 1 << SEGMENT_BITS, dtype=np.uint64) << np.uint64(64 - SEGMENT_BITS)
+        cuts = np.arange(1, 1 << size.head, dtype=np.uint64) << np.uint64(64 - size.head)
         rows = [(k, x.tobytes(), y.tobytes()) for k, (x, y) in enumerate(zip(np.split(a, np.searchsorted(a, cuts)), np.split(b, np.searchsorted(b, cuts)), strict=True)) if len(x) or len(y)]
         once.clear()
         twice.clear()
@@ -70,55 +95,59 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filtered(size: Size, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The second filter of each segment of a partition, packed and compressed."""
     filters: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for segment, once, twice in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            first, second = filters.setdefault(segment, (np.zeros(1 << INNER, dtype=bool), np.zeros(1 << INNER, dtype=bool)))
-            places = _places(np.frombuffer(once, dtype=np.uint64))
+            first, second = filters.setdefault(segment, (np.zeros(1 << size.inner, dtype=bool), np.zeros(1 << size.inner, dtype=bool)))
+            places = size.places(np.frombuffer(once, dtype=np.uint64))
             again = first[places].all(axis=0)
             second[places[:, again]] = True
             first[places] = True
-            places = _places(np.frombuffer(twice, dtype=np.uint64))
+            places = size.places(np.frombuffer(twice, dtype=np.uint64))
             first[places] = second[places] = True
     compress = zstandard.ZstdCompressor().compress
     for segment, (_, second) in filters.items():
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([compress(np.packbits(second).tobytes())], pa.binary())], names=["segment", "bits"])
 
 
-def seen_twice(docs: DataFrame) -> dict[int, bytes]:
+def seen_twice(docs: DataFrame, size: Size) -> dict[int, bytes]:
     """The second filter by segment: compressed bits of all hashes that more than one document holds, and few others."""
-    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(_sent), "segment long, once binary, twice binary")
-    parts = sent.repartition(1 << SEGMENT_BITS, "segment").mapInArrow(tidied(_filtered), "segment long, bits binary")
-    return {row["segment"]: bytes(row["bits"]) for row in parts.collect()}  # at most 2 ** BITS bits
+    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(partial(_sent, size)), "segment long, once binary, twice binary")
+    parts = sent.repartition(1 << min(size.head, 8), "segment").mapInArrow(tidied(partial(_filtered, size)), "segment long, bits binary")
+    return {row["segment"]: bytes(row["bits"]) for row in parts.collect()}  # at most 2 ** MOST bits
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """The lines to drop: ``id`` (long, a null doc_id as the largest) and ``digests`` (array of binary, one for each key)."""
-    shared = small_batches(docs).sparkSession.sparkContext.broadcast(seen_twice(docs))
+    """The lines to drop: ``id`` (long, a null doc_id as the largest), ``th`` (hash of the text) and ``digests`` (array of binary, one
+    for each key), so that no row holds more than the keys of one text."""
+    size = filter_size(small_batches(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, size))
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompress = zstandard.ZstdDecompressor().decompress
-        bits = np.zeros((1 << SEGMENT_BITS, (1 << INNER) // 8), dtype=np.uint8)
+        bits = np.zeros((1 << size.head, (1 << size.inner) // 8), dtype=np.uint8)
         for segment, packed in shared.value.items():
             bits[segment] = np.frombuffer(decompress(packed), dtype=np.uint8)
         for batch in batches:
             owner, keys = [], []
-            for k, text in enumerate(batch.column(1)):
+            for k, text in enumerate(batch.column(2)):
                 own = {x for x in map(line_key, (text.as_py() or "").split("\n")) if x is not None}
                 owner += [k] * len(own)
                 keys += own
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-            segment, places = (hashes >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64), _places(hashes).astype(np.int64)
+            segment, places = size.segment(hashes), size.places(hashes).astype(np.int64)
             held = np.flatnonzero((bits[segment, places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).all(axis=0)).tolist()
-            ids = batch.column(0).take(pa.array([owner[k] for k in held], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([blake2b(keys[k], digest_size=16).digest() for k in held], pa.binary())], names=["id", "digest"])
+            rows = pa.array([owner[k] for k in held], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([blake2b(keys[k], digest_size=16).digest() for k in held], pa.binary())], names=["id", "th", "digest"])
 
-    suspects = docs.select(last_long("doc_id").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(suspected), "id long, digest binary")
-    first = suspects.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    rows = docs.select(last_long("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    suspects = stored(rows.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(tidied(suspected), "id long, th long, digest binary"), "line-suspects")
+    # written before it is met, so that Spark can split a digest that very many documents hold
+    first = stored(suspects.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"), "line-repeats")
     later = suspects.join(first, "digest").where("id != first")
-    return later.groupBy("id").agg(F.collect_set("digest").alias("digests"))
+    return later.groupBy("id", "th").agg(F.collect_set("digest").alias("digests"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -129,8 +158,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     column, also one named as those added, is passed on or replaced. An empty table gives an empty result.
     """
     names = docs.columns
-    marks = repeats(docs).withColumnsRenamed({"id": "__id", "digests": "__digests"})
-    joined = docs.withColumn("__key", last_long("doc_id")).join(marks.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left")
+    marks = repeats(docs).withColumnsRenamed({"id": "__id", "th": "__th", "digests": "__digests"})
+    keyed = docs.withColumns({"__key": last_long("doc_id"), "__hash": F.xxhash64(F.col("text").cast("string"))})
+    joined = keyed.join(marks.hint("shuffle_hash"), (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
     kept = [name for name in names if name not in ("n_lines", "n_dropped")]
     rows = joined.select(*[F.col(f"`{name}`") for name in kept], "__digests").withColumn("text", F.col("text").cast("string"))
     text = kept.index("text")
