@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinelake.functions.expressions import PERFECT_MSE, compression_level, file_name, strict_greatest
+from cinelake.functions.expressions import PERFECT_MSE, compression_level, error_bound, file_name, strict_greatest
+from cinelake.session import checkpointed
 
 TEMPORAL_WEIGHT, QUALITY_WEIGHT = 4.0, 2.0
 LEAST_PRESSURE = 0.25
@@ -101,21 +102,21 @@ def time_percentiles(gops: DataFrame) -> DataFrame:
 def covers(gops: DataFrame, physicals: DataFrame, perfect: float = PERFECT_MSE) -> DataFrame:
     """For each GOP that another one of its logical video makes redundant, the least id of those.
 
-    A cover spans the GOP's time with an error of at most the larger of the GOP's own and that of perfect quality. Covers can start any time
-    before, so they are not found by neighbouring times. A GOP's start is cut into buckets of the longest power of two of time that
+    A cover spans the GOP's time at its resolution or more, with an error of at most the larger of the GOP's own and that of perfect
+    quality: a smaller copy never stands for a larger one. Covers can start any time before, so they are not found by neighbouring times. A GOP's start is cut into buckets of the longest power of two of time that
     a cover spans whole, so that rows meet by equality: each GOP looks once at each length of covers.
     """
-    rows = located(gops, physicals).select("logical_id", "id", "start_us", "end_us", "estimated_mse")
+    rows = located(gops, physicals).select("logical_id", "id", "start_us", "end_us", "estimated_mse", "height", "width")
     length = F.greatest(F.col("end_us") - F.col("start_us"), F.lit(1).cast("long"))
     level = F.floor(F.log2(length.cast("double"))).cast("int")
-    c = rows.select(F.col("logical_id"), F.col("id").alias("cover_id"), F.col("start_us").alias("c_start"), F.col("end_us").alias("c_end"), F.col("estimated_mse").alias("c_mse"), level.alias("level"))
+    c = rows.select(F.col("logical_id"), F.col("id").alias("cover_id"), F.col("start_us").alias("c_start"), F.col("end_us").alias("c_end"), F.col("estimated_mse").alias("c_mse"), F.col("height").alias("c_height"), F.col("width").alias("c_width"), level.alias("level"))
     width = F.pow(F.lit(2.0), F.col("level")).cast("long")
     # a cover is shorter than two buckets of its level, so it touches at most three
     c = c.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("c_start") / width), F.floor(F.col("c_end") / width))))
     levels = c.select("logical_id", "level").distinct()
     g = rows.join(levels, "logical_id").withColumn("bucket", F.floor(F.col("start_us") / width))
     bound = strict_greatest(F.col("estimated_mse"), F.lit(perfect))
-    found = g.join(c, ["logical_id", "level", "bucket"]).where((F.col("c_start") <= F.col("start_us")) & (F.col("c_end") >= F.col("end_us")) & (F.col("cover_id") != F.col("id")) & (F.col("c_mse") <= bound))
+    found = g.join(c, ["logical_id", "level", "bucket"]).where((F.col("c_start") <= F.col("start_us")) & (F.col("c_end") >= F.col("end_us")) & (F.col("cover_id") != F.col("id")) & (F.col("c_mse") <= bound) & (F.col("c_height") >= F.col("height")) & (F.col("c_width") >= F.col("width")))
     return found.groupBy("id").agg(F.min("cover_id").alias("cover_id"))
 
 
@@ -176,9 +177,30 @@ def file_references(gops: DataFrame, physicals: DataFrame, logicals: DataFrame)
 
 
 def lineage_error(gops: DataFrame) -> DataFrame:
-    """The summed error of each GOP and of all before it in its physical video, each being made from the one before."""
-    line = Window.partitionBy("physical_id").orderBy("start_us", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return gops.select("id", "physical_id", F.sum("estimated_mse").over(line).alias("error"), F.count("*").over(line).alias("depth"))
+    """For each GOP the summed error of itself and of all that it was made from, by ``parent_id`` up to the root: id, error, depth.
+
+    Each round doubles the way that is known, so a line of n takes about log2(n) joins. A parent that is no longer there ends the line.
+    """
+    rows = gops.select("id", F.col("parent_id").alias("up"), F.col("estimated_mse").alias("error"), F.lit(1).cast("long").alias("depth"))
+    while True:
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("error").alias("more"), F.col("depth").alias("steps"))
+        met = rows.join(above, "up", "left")
+        rows = checkpointed(met.select("id", F.col("next").alias("up"), F.when(F.col("steps").isNull(), F.col("error")).otherwise(F.col("error") + F.col("more")).alias("error"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth")))
+        if rows.where("up is not null").isEmpty():
+            return rows.select("id", "error", "depth")
+
+
+def measured_bound(parent: Column, measured: Column) -> Column:
+    """The error to expect of a copy: that of its parent where nothing was lost, else the bound on a copy of a copy."""
+    return F.when(measured > 0, error_bound(parent, measured)).otherwise(parent)
+
+
+def pairs_to_join(pairs: DataFrame) -> DataFrame:
+    """Of ``compaction_pairs`` those that can be joined at once: no video is in two of them. The first of a chain and the one after it
+    are always among them, so that going on ends."""
+    step = pairs.groupBy("logical_id", "right_id").agg(F.min("left_id").alias("left_id"))
+    step = step.groupBy("logical_id", "left_id").agg(F.min("right_id").alias("right_id"))
+    return step.join(step.select(F.col("right_id").alias("left_id")), "left_id", "left_anti").select("left_id", "right_id")
 
 
 def plan_runs(plan: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ ranked AS (
          count(*) OVER (PARTITION BY physical_id) AS n_gops, min(start_us) OVER (PARTITION BY physical_id) AS min_us, max(end_us) OVER (PARTITION BY physical_id) AS max_us
   FROM g),
 cover AS (
-  SELECT a.id, min(b.id) AS cover_id FROM g a JOIN g b ON a.logical_id = b.logical_id AND b.start_us <= a.start_us AND b.end_us >= a.end_us AND b.id <> a.id
+  SELECT a.id, min(b.id) AS cover_id FROM g a JOIN g b ON a.logical_id = b.logical_id AND b.start_us <= a.start_us AND b.end_us >= a.end_us AND b.id <> a.id AND b.height >= a.height AND b.width >= a.width
      AND b.estimated_mse <= CASE WHEN a.estimated_mse IS NOT NULL THEN greatest(a.estimated_mse, 100.0) END
   GROUP BY a.id),
 ranks AS (
@@ -311,14 +311,16 @@ def compress_candidates(c: Catalog) -> DataFrame:
 @query(
     "q_error_lineage",
     """
-, o AS (SELECT id, physical_id, estimated_mse, row_number() OVER (PARTITION BY physical_id ORDER BY start_us, id) AS n FROM gops),
+, made AS (SELECT id, estimated_mse, CASE WHEN k % 4 <> 0 THEN lag(id) OVER (PARTITION BY logical_id, ti ORDER BY start_us, id) END AS parent_id FROM (SELECT ev.*, k * 10.0::DOUBLE AS estimated_mse FROM ev)),
 line AS (
-  SELECT id, physical_id, n, estimated_mse AS error FROM o WHERE n = 1
-  UNION ALL SELECT o.id, o.physical_id, o.n, line.error + o.estimated_mse FROM line JOIN o ON o.physical_id = line.physical_id AND o.n = line.n + 1)
-SELECT id, physical_id, error, n AS depth FROM line""",
+  SELECT id, estimated_mse AS error, parent_id, 1 AS depth FROM made
+  UNION ALL SELECT line.id, line.error + made.estimated_mse, made.parent_id, line.depth + 1 FROM line JOIN made ON made.id = line.parent_id)
+SELECT id, max(error) AS error, CAST(max(depth) AS BIGINT) AS depth FROM line GROUP BY id""",
 )
 def error_lineage(c: Catalog) -> DataFrame:
-    return views.lineage_error(c.gops)
+    """Three of four GOPs as copies of the one before of the same user and type."""
+    before = F.lag("id").over(Window.partitionBy("logical_id", "ti").orderBy("start_us", "id"))
+    return views.lineage_error(c.events.select("id", F.when(F.col("k") % 4 != 0, before).alias("parent_id"), (F.col("k") * 10.0).alias("estimated_mse")))
 
 
 ORACLE_SQL["q_error_lineage"] = ORACLE_SQL["q_error_lineage"].replace("WITH ", "WITH RECURSIVE ", 1)

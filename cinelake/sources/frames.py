@@ -91,6 +91,22 @@ def scale(frames: DataFrame, height: int, width: int, mode: str = "nearest") ->
     return each_frame(frames, lambda p: scaled(p, height, width, mode))
 
 
+def scale_error(frames: DataFrame, height: int, width: int, mode: str = "nearest") -> DataFrame:
+    """What scaling costs: frame_no and the mean squared error of each frame scaled there and back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, errors = [], []
+            for x in batch.to_pylist():
+                picture = np.frombuffer(x["pixels"], np.uint8).reshape(x["height"], x["width"], x["channels"])
+                back = scaled(scaled(picture, height, width, mode), x["height"], x["width"], mode)
+                numbers.append(x["frame_no"])
+                errors.append(float(((picture.astype(np.float64) - back) ** 2).mean()))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(errors, pa.float64())], names=["frame_no", "mse"])
+
+    return frames.select("frame_no", "height", "width", "channels", "pixels").mapInArrow(run, "frame_no long, mse double")
+
+
 def trim(frames: DataFrame, t0: float, t1: float) -> DataFrame:
     return frames.where((F.col("t") >= t0) & (F.col("t") < t1))
 
@@ -150,6 +166,18 @@ def compress(rows: DataFrame, column: str, level: int) -> DataFrame:
     return _mapped(rows, column, lambda x: zstandard.ZstdCompressor(level=level).compress(x))
 
 
+def compress_by(rows: DataFrame, column: str, level: str) -> DataFrame:
+    """``rows`` with the contents of ``column`` compressed by the level in another column; null leaves them as they are."""
+    at, by = rows.columns.index(column), rows.columns.index(level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [x if n is None else zstandard.ZstdCompressor(level=n).compress(x) for x, n in zip(batch.column(at).to_pylist(), batch.column(by).to_pylist(), strict=True)]
+            yield batch.set_column(at, column, pa.array(new, pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def decompress(rows: DataFrame, column: str) -> DataFrame:
     return _mapped(rows, column, zstandard.decompress)
 

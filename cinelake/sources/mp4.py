@@ -174,6 +174,26 @@ def container_rows(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, codec string, height int, width int, fps double, gop_size int, mdat_offset long, sample long, size long")
 
 
+def gop_rows(spark: SparkSession, path: str, gop_size: int | None = None) -> DataFrame:
+    """A row for each group of pictures of the MP4 file at ``path``: codec, height, width, fps, gop, n_frames, content (units with start
+    codes, parameter sets first). Groups start at keyframes, or every ``gop_size`` samples where that is given."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                t = parse(data)
+                starts = list(range(0, len(t.sizes), gop_size)) if gop_size else sorted({0, *t.keyframes})
+                ends = [*starts[1:], len(t.sizes)]
+                offsets = [t.mdat_offset]
+                for size in t.sizes:
+                    offsets.append(offsets[-1] + size)
+                for k, (low, high) in enumerate(zip(starts, ends, strict=True)):
+                    yield pd.DataFrame({"codec": [t.codec], "height": [t.height], "width": [t.width], "fps": [t.fps], "gop": [k], "first": [low], "n_frames": [high - low], "content": [to_annexb(data[offsets[low] : offsets[high]], t.headers)]})
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(run, "codec string, height int, width int, fps double, gop long, first long, n_frames long, content binary")
+
+
 def annexb(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with the samples in ``column`` converted."""
     names = rows.columns
