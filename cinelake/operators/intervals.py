@@ -36,6 +36,11 @@ def goal_matches(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("logical_id", "start", "end").agg(F.count("*").alias("n"), F.min("physical_id").alias("physical_id"))
 
 
+def fragments_for(fragments: DataFrame, goals: DataFrame) -> DataFrame:
+    """The fragments of the very intervals of ``goals`` (logical_id, start, end)."""
+    return fragments.join(goals, ["logical_id", "start", "end"])
+
+
 def decode_dependencies(fragments: DataFrame, gops: DataFrame) -> DataFrame:
     """For each fragment the GOPs that it contains (a keyframe and the other frames) and those that it covers in part."""
     g = gops.select("physical_id", F.col("id").alias("gop_id"), to_frames(F.col("start_us")).alias("g_start"), (to_frames(F.col("end_us")) - 1).alias("g_end")).where("g_end >= g_start")

@@ -98,9 +98,13 @@ def join_right(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.when(y != 0, y).otherwise(x))
 
 
-def join_mean(a: Column, b: Column, least: int = 9) -> Column:
-    """The mean where the right pixel is bright enough to be part of the picture."""
-    return F.zip_with(a, b, lambda x, y: F.when(y >= least, F.floor((x + y) / 2).cast("int")).otherwise(x))
+def join_mean(a: Column, b: Column, least: int = 9, channels: int = 1) -> Column:
+    """The mean where the right pixel, the sum of its ``channels``, is bright enough to be part of the picture."""
+    if channels == 1:
+        return F.zip_with(a, b, lambda x, y: F.when(y >= least, F.floor((x + y) / 2).cast("int")).otherwise(x))
+    first = lambda k: (F.floor(k / channels) * channels).cast("int")
+    sums = F.transform(b, lambda y, k: F.aggregate(F.slice(b, first(k) + 1, F.lit(channels)), F.lit(0), lambda s, x: s + x))
+    return F.zip_with(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), sums, lambda p, s: F.when(s >= least, F.floor((p["x"] + p["y"]) / 2).cast("int")).otherwise(p["x"]))
 
 
 def join_interlace(a: Column, b: Column, width: int) -> Column:
@@ -139,3 +143,27 @@ def best_share(matches: DataFrame, share: int = 20) -> DataFrame:
     own = Window.partitionBy("group")
     rows = matches.withColumn("n", F.row_number().over(own.orderBy(F.desc("score"), "id"))).withColumn("all", F.count("*").over(own))
     return rows.where(F.col("n") <= F.floor(F.col("all") / share) + 1).select("group", "id", "n")
+
+
+def numbered_by(rows: DataFrame, key: str, offset: int = 0, width: int = 4096) -> DataFrame:
+    """``rows`` numbered in order of a unique ``key`` (long) from ``offset``, as ``n``: within ranges of ``width`` keys, after the sums of
+    the ranges before. Only the ranges' counts are brought to one task."""
+    ranged = rows.withColumn("__range", F.floor(F.col(key) / width))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__count"))
+    before = counts.select("__range", (F.sum("__count").over(Window.orderBy("__range")) - F.col("__count")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return ranged.withColumn("__own", own).join(before, "__range").withColumn("n", F.col("__before") + F.col("__own") + offset).drop("__range", "__own", "__before")
+
+
+def concatenated(frames: DataFrame, segment: str) -> DataFrame:
+    """Frames of segments one after the other, in order of ``segment``: ``number`` is a frame's place in the whole."""
+    sizes = frames.groupBy(segment).agg(F.count("*").alias("__count"))
+    before = sizes.select(segment, (F.sum("__count").over(Window.orderBy(segment)) - F.col("__count")).alias("__before"))  # a row for each segment
+    own = F.row_number().over(Window.partitionBy(segment).orderBy("frame_no")) - 1
+    return frames.withColumn("__own", own).join(before, segment).withColumn("number", F.col("__before") + F.col("__own")).drop("__own", "__before")
+
+
+def joint_benefit(rows: DataFrame, group: str) -> DataFrame:
+    """Of pairs (mse, whole, stored: values before and after) by group: count, mean PSNR of the changed ones, values saved, their share."""
+    saved = F.sum(F.col("whole") - F.col("stored"))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(psnr(F.col("mse"))).alias("psnr"), saved.cast("long").alias("saved"), (saved.cast("double") / F.sum("whole")).alias("benefit"))

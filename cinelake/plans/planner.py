@@ -80,11 +80,11 @@ class Fragment:
         return out
 
 
-def best_plan(choices: list[list[Fragment]], goal: Format, most_states: int = 512) -> tuple[float, list[Fragment]]:
+def best_plan(choices: list[list[Fragment]], goal: Format) -> tuple[float, list[Fragment]]:
     """Cost and fragments, in order of time, of the cheapest plan. Of equal ones the lower videos.
 
-    A state that costs no less than another one, even after that has paid for all that this one has, cannot be better and goes.
-    Beyond ``most_states`` ways at a time the cheapest are kept on.
+    A state that costs no less than another one, even after that has paid for all that this one has, cannot be better and goes; all others
+    are kept, so the plan is exact. Where no GOP is open there is one state.
     """
     states: list[tuple[float, tuple[int, ...], dict, tuple]] = [(0.0, (), {}, ())]
     for options in choices:
@@ -105,9 +105,7 @@ def best_plan(choices: list[list[Fragment]], goal: Format, most_states: int = 51
                     following[key] = new
         states = []
         for new in sorted(following.values(), key=lambda x: x[:2]):
-            if len(states) == most_states:
-                break
-            if not any(old[0] + sum(max(0.0, needed - old[2].get(gop, 0.0)) for gop, needed in new[2].items()) <= new[0] for old in states[:32]):
+            if not any(old[0] + sum(max(0.0, needed - old[2].get(gop, 0.0)) for gop, needed in new[2].items()) <= new[0] for old in states):
                 states.append(new)
     if not states:
         return float("inf"), []

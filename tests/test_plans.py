@@ -72,7 +72,7 @@ def test_plan_is_optimal(seed):
         cuts.append(cuts[-1] + r.randint(1, 20))
     goal = Format(r.choice(["h264", "hevc", "rgb"]), 4, r.choice([4, 8]))
     choices = [[] for _ in range(n)]
-    for v in range(r.randint(1, 3)):
+    for v in range(r.randint(1, 6)):
         own, gops, at = Format(r.choice(["h264", "hevc", "rgb"]), 4, r.choice([4, 8])), [], 0
         while at < cuts[-1]:
             end = min(at + r.randint(1, 15), cuts[-1])

@@ -6,9 +6,10 @@ import os
 import duckdb
 import pytest
 
-from cinelake.plans import registry
+from cinelake.plans import registry, steps
 
 FOLDER = "/root/testdata/sf0.001"
+assert steps  # its queries are in the registry, too
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables are not here")
 
 
