@@ -57,3 +57,23 @@ def test_near_copies_of_null_and_repeated_ids(spark):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).where("n_tokens > 0").count() > 0
+
+
+@pytest.mark.parametrize("table", ["odd", "empty"])
+def test_stages_on_odd_tables(spark, request, tmp_path, table):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names: every stage keeps what it should."""
+    docs = request.getfixturevalue(table)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    first = stage["toxicity"](spark, docs, str(tmp_path)).cache()
+    assert Counter(map(tuple, first.collect())) == Counter(map(tuple, docs.collect()))
+    second = stage["line_dedup"](spark, first, str(tmp_path)).cache()
+    assert Counter(rows(second)) == Counter((i, text) for i, _, _, text in dropped_lines(rows(first)).elements())
+    third = stage["jaccard_join"](spark, second, str(tmp_path)).cache()
+    plain = sorted(rows(second), key=lambda x: 2**63 if x[0] is None else x[0])
+    linked = classes(shingle_sets(enumerate(text for _, text in plain)))
+    assert Counter(i for i, _ in rows(third)) == Counter(plain[k][0] for k, (_, root) in linked.items() if k == root)
+    fourth = stage["mixing"](spark, third, str(tmp_path)).cache()
+    assert fourth.count() == sum(x["taken"] // x["size"] for x in mixing.mix(third).where("size > 0").collect())
+    assert all(df.columns == docs.columns for df in (first, second, third, fourth)) and (fourth.count() > 3 or table == "empty")
+    assert Counter(rows(stage["byte_bpe"](spark, fourth, str(tmp_path)))) == Counter((i, text or "") for i, text in rows(fourth))

@@ -51,12 +51,20 @@ def test_line_dedup(table, request):
 
 
 def test_filters_hold_all_repeats(corpus):
-    held = {k: np.unpackbits(np.frombuffer(line_dedup.zstandard.decompress(v), np.uint8)) for k, v in line_dedup.seen_twice(corpus).items()}
+    size = line_dedup.filter_size(corpus)
+    assert size.bits == 20 and line_dedup.Size(30).inner == 21
+    held = {k: np.unpackbits(np.frombuffer(line_dedup.zstandard.decompress(v), np.uint8)) for k, v in line_dedup.seen_twice(corpus, size).items()}
     times = Counter(key for _, text in rows(corpus) for key in {k for k in map(line_dedup.line_key, text.split("\n")) if k})
     for key, n in times.items():
         if n > 1:
             h = np.array([line_dedup.xxhash.xxh3_64_intdigest(key)], np.uint64)
-            assert held[int(h[0] >> np.uint64(64 - line_dedup.SEGMENT_BITS))][line_dedup._places(h).astype(int)].all()
+            assert held[int(size.segment(h)[0])][size.places(h).astype(int)].all()
+
+
+def test_line_dedup_with_full_filters(corpus, monkeypatch):
+    """Filters that suspect almost every line give the same result."""
+    monkeypatch.setattr(line_dedup, "filter_size", lambda docs: line_dedup.Size(9))
+    assert Counter((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"]) for x in line_dedup.drop_repeats(corpus).collect()) == dropped_lines(rows(corpus))
 
 
 # --- suffix dedup
@@ -90,10 +98,34 @@ def test_suffix_dedup_of_odd_texts(spark, odd):
     docs = odd.where("doc_id is null or doc_id not in (5, 6)").select("doc_id", "text").union(spark.createDataFrame(periodic, "doc_id long, text string"))
     found = suffix_dedup.remove_repeats(docs)
     assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in found.collect()) == removed(rows(docs))
+    clashing = odd.where("doc_id is null or doc_id not in (5, 6)")
+    assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in suffix_dedup.remove_repeats(clashing).collect()) == removed(rows(clashing))
     both = {x["doc_id"]: x["n_removed"] for x in suffix_dedup.remove_repeats(odd.where("doc_id in (5, 6)")).collect()}
     assert both[5] == len(rows(odd.where("doc_id = 5"))[0][1]) and both[6] >= both[5]
 
 
+@pytest.mark.parametrize("wide", [4, 4096])
+def test_suffix_dedup_of_a_passage_with_many_edges(spark, monkeypatch, wide):
+    """Documents that share a passage, or most of it, amid text of their own: with ``wide`` 4 its grams are cut to slices and windows."""
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, docs = letters(900), []
+    for k in range(60):
+        low, high = sorted(rng.integers(0, 901, 2)) if k % 3 == 0 else (0, 900)
+        docs.append((k // 2, letters(rng.integers(0, 500)) + passage[low:high] + rng.choice(["", letters(20)]) + letters(rng.integers(0, 500))))
+    docs += [(None, passage[:450]), (None, passage[300:]), (7, docs[3][1]), (8, passage * 2)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in found.collect()) == removed(docs)
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 30, 500):
+        keys = rng.integers(0, 4, (n, 3)).astype(np.uint64)
+        assert sorted(keys.tolist()) == keys[suffix_dedup.multikey_quicksort(keys)].tolist()
+
+
 def test_blind_trie_sorts():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -143,6 +175,28 @@ def test_jaccard(table, request):
     assert found == classes(shingle_sets(plain.items()))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_of_large_groups(spark, monkeypatch, seed):
+    """Groups of near copies, exact copies and chains, with tiles of several blocks and arrays of several groups of pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+    docs = []
+    for _ in range(3):
+        text = rng.choice(words, 120).tolist()
+        for _ in range(60):
+            own = list(text)
+            own[int(rng.integers(0, len(own)))] = str(rng.choice(words))
+            docs.append(own)
+            if rng.random() < 0.4:
+                text = own  # a chain: its ends need not link
+    order = rng.permutation(len(docs))
+    docs = [(int(k), " ".join(docs[j])) for k, j in enumerate(order)]
+    found = {x["id"]: (x["n_shingles"], x["component"]) for x in jaccard.link(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == classes(shingle_sets(docs))
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -207,6 +261,54 @@ def test_toxicity_never_learns_held_out_rows(spark, marked):
     assert {x["score"] for x in toxicity.score(docs.limit(3), nothing).collect()} == {0.0}
 
 
+def toxic_by_definition(docs, labels):
+    """Counts, ratios and scores of the same features by plain Python over strings."""
+    import math
+
+    norm = lambda text: "".join(c.lower() if "A" <= c <= "Z" else c if ord(c) > 127 or c.isalnum() else " " for c in text or "")
+
+    def buckets(text):
+        out, text = set(), [ord(c) for c in norm(text)]
+        for n in toxicity.ORDERS:
+            for k in range(len(text) - n + 1):
+                h = 0
+                for c in text[k : k + n]:
+                    h = (h * 0x9E3779B1 + c) % 2**32
+                out.add(((h ^ (h >> 15)) * 0x85EBCA6B % 2**32) >> (32 - toxicity.BITS))
+        return out
+
+    train = [(buckets(text), labels[i]) for i, text in docs if labels.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    n = [sum(y == k for _, y in train) for k in (0, 1)]
+    counts = defaultdict(lambda: [0, 0])
+    for own, y in train:
+        for b in own:
+            counts[b][y] += 1
+    ratio = {}
+    for b, (c0, c1) in counts.items():
+        both = (c0 + c1) / sum(n)
+        error = math.sqrt(max(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+        if abs(c1 / n[1] - c0 / n[0]) / error > toxicity.SIGNIFICANT and c0 + c1 >= toxicity.LEAST:
+            ratio[b] = math.log((c1 + 1) / (n[1] + 2) / ((c0 + 1) / (n[0] + 2)))
+    return ratio, buckets, train
+
+
+def test_toxicity_by_definition(spark, marked, odd):
+    docs, labels = marked
+    model = toxicity.fit(docs, labels)
+    ratio, buckets, train = toxic_by_definition(rows(docs), {x["doc_id"]: x["toxic"] for x in labels.collect()})
+    assert sorted(ratio) == model.buckets.tolist()
+    # the weights are at the least loss: the slope of the penalised logistic loss is near 0
+    scale = np.array([ratio[b] for b in sorted(ratio)])
+    x = np.array([[b in own for b in sorted(ratio)] for own, _ in train]) * scale
+    y = np.array([label for _, label in train])
+    wrong = 1 / (1 + np.exp(-(x @ (model.weights / scale) + model.intercept))) - y
+    assert abs(wrong.mean()) < 1e-3 and np.abs(x.T @ wrong / len(y) + 1e-4 * model.weights / scale).max() < 2e-3
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    for table in (docs, odd.where("doc_id is null or doc_id not in (5, 6)")):
+        want = Counter((i, round(1 / (1 + float(np.exp(-model.intercept - sum(weight.get(b, 0.0) for b in buckets(text))))), 4)) for i, text in rows(table))
+        assert Counter((r["doc_id"], round(r["score"], 4)) for r in toxicity.score(table, model).collect()) == want
+
+
 # --- language
 
 
@@ -228,6 +330,33 @@ def test_language(spark, odd, empty):
     assert {x["lang_pred"] for x in language.predict(odd, {}).collect()} == {"und"}
 
 
+def test_language_sizes_by_definition(spark, odd):
+    """Predictions against sizes that the zstandard library gives for the same blocks and dictionaries."""
+    import zstandard
+
+    learned = {"x": b"one line that is long enough and others " * 20, "y": "der die das und 漢字 é ü ".encode() * 30, "z": b""}
+    found = {(x["doc_id"], x["lang_pred"], round(x["score"], 12)) for x in language.predict(odd, learned).collect()}
+    want = set()
+    for i, text in rows(odd):
+        raw = (text or "").lower().encode()
+        sizes = {}
+        for name, content in learned.items():
+            made = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[name] = sum(len(made.compress(raw[k : k + language.BLOCK])) for k in range(0, len(raw), language.BLOCK))
+        order = sorted(learned, key=lambda name: (sizes[name], name))
+        letters = any(map(str.isalpha, text or ""))
+        want.add((i, order[0] if letters else "und", round(1 - sizes[order[0]] / sizes[order[1]], 12) if letters else 0.0))
+    assert found == want
+
+
+def test_language_shares():
+    texts = [b"a" * 10, b"b" * 5000, bytes(range(256)) * 40, b""]
+    own = language.shares(texts, 4000)
+    assert own[0] == texts[0] and own[3] == b"" and sum(map(len, own)) <= 4000 and abs(len(own[1]) - len(own[2])) < 500
+    assert own[2][:100] == texts[2][:100] and own[2][-100:] == texts[2][-100:]
+    assert language.shares(texts, 10**6) == texts and language.shares([], 5) == []
+
+
 # --- BPE
 
 
@@ -281,7 +410,7 @@ def test_licenses(spark, odd, empty):
         "GNU General Public License version 3, or (at your option) any later version", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "This work is licensed under the GNU General Public License, version 3. Released under the MIT License.", "mit license is one word", "Creative Commons Attribution-ShareAlike 4.0 International License",
     ]
-    docs = odd.where("doc_id is null or doc_id not in (5, 6)").select("doc_id", "text").union(spark.createDataFrame([(100 + k, x) for k, x in enumerate(texts)], "doc_id long, text string"))
+    docs = odd.unionByName(spark.createDataFrame([(100 + k, x) for k, x in enumerate(texts)], "doc_id long, text string"), allowMissingColumns=True)
     found = licenses.scan(docs).collect()
     assert Counter((x["doc_id"], x["n_words"], x["n_base"], x["first_word"], x["last_word"], x["base_labels"]) for x in found) == Counter((i, *base_of(text)) for i, text in rows(docs))
     by_id = {x["doc_id"]: x for x in found}
@@ -311,6 +440,15 @@ def test_licenses_without_common_words(spark):
     assert all(any(stem in word for stem in licenses.STEMS) for _, word, _, _ in licenses.rules())
 
 
+def test_licenses_in_long_texts(spark):
+    """About a megabyte of places, many within others."""
+    texts = ["mit license all rights reserved " * 32_000, "licensed under the mit license or the gnu general public license version 3 or later " * 300, "word " * 250_000 + "mit license"]
+    found = {x["doc_id"]: x for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (found[0]["n_words"], found[0]["n_base"], found[0]["first_word"], found[0]["last_word"], found[0]["labels"]) == (160_000, 32_000, 0, 159_995, "all-rights-reserved,mit")
+    assert len(found[0]["detections"]) == 32_000 and found[2]["first_word"] == found[2]["last_word"] == 250_000
+    assert {(x["start"], x["end"], x["rank"], x["label"]) for x in found[1]["detections"]} == detections_of(texts[1])
+
+
 def test_license_rules():
     rules = licenses.rules()
     assert len(rules) > 300 and all(re.compile(pattern) and 0 < sure <= 1 for _, _, pattern, sure in rules)

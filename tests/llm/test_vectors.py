@@ -76,6 +76,28 @@ def test_search_in_few_rows(spark):
     assert ann.search(nothing, nothing).count() == 0
 
 
+def test_clustered_vectors_need_few_partitions():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16)) * 3
+    x = centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 16)) * 0.5
+    index = ann.fit(x, 20)
+    parts = index.layers[-1].shape[0]
+    assert index.recall >= 0.9 and 2 * index.probes < parts
+
+
+def test_queries_go_on_until_they_have_enough(spark):
+    """Tiny clusters: the partitions that a query would look in hold fewer rows than it wants."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    rows = usable(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, [1.0, float(k)]) for k in range(5)], "vec_id long, embedding array<double>"))
+    index = ann.fit(x, 20, recall=0.0)
+    assert index.probes == 1 and index.layers[-1].shape[0] > 1
+    found = ann._search(rows.where("id < 1000"), rows.where("id < 1000"), 100, index)
+    assert {r["count"] for r in found.groupBy("query").count().collect()} == {100}
+    both = {r["query"]: r["count"] for r in ann.search(rows, rows.where("id >= 1000 or id < 3"), 20).groupBy("query").count().collect()}
+    assert both == {**dict.fromkeys(range(3), 20), **dict.fromkeys(range(1000, 1005), 4)}
+
+
 def test_partitions_are_balanced():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(800, 8)) + 6 * np.eye(8)[rng.integers(0, 8, 800)]
