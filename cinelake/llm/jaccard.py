@@ -5,17 +5,21 @@
    packed arrays; sets that share one are a tile, and tiles with much the same sets are put together.
 3. Within a tile sets are ordered by size, and a set is compared only with the band of sizes that can link. Each set has a bitmap
    of the parities of its hashes, as wide as its size asks for. The bits that differ are at most the hashes that differ, so their
-   count bounds the overlap from above; pairs that cannot reach the threshold go.
+   count bounds the overlap from above; pairs that cannot reach the threshold go. A tile of more than BLOCK sets is dealt to blocks,
+   and a task holds two of them.
 4. The pairs left are verified by intersecting the sorted hash arrays. In a first round a set is verified only against the first
-   set of its tile that passes the bound; in a second round against all that pass and are not yet in its component. So a large
-   group of near copies costs about a pair for each member, and no link between components is lost.
+   set that passes the bound in its tile's block 0 or else in its own block; in a second round, of tiles whose sets are not yet in one
+   component, any two blocks meet and pairs of different components that pass are verified. So a large group of near copies costs
+   about a pair for each member, and no link between components is lost.
+5. Pairs meet the array of their second set by groups of at most about GROUP pairs of one such set: the array is sent once to each
+   group, and the arrays of the first sets stream past it.
 
 The global order puts hashes that are frequent in a bounded sample last. It decides the work only, not the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -29,9 +33,10 @@ from cinelake.llm.components import components
 WORDS = 5
 #: Two sets link when LINK[0] * union <= LINK[1] * intersection.
 LINK = (80, 100)
-#: Documents whose shingles tell which are frequent, at most, and in how many of them a shingle is.
+#: Sets whose shingles tell which are frequent, about, and in how many of them a shingle is.
 SAMPLE, FREQUENT = 4096, 8
-BUCKETS = 4096
+#: Sets of a tile's block, and pairs that meet one copy of their smaller set's array, about.
+BLOCK, GROUP = 2048, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACES = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -157,8 +162,9 @@ def _again(table: pa.Table) -> pa.Table:
     return pa.table({"tile": pa.array(np.repeat(np.array(name, np.int64), [len(x) for x in groups])), "set": pa.array([y for x in groups for y in x], pa.int64())})
 
 
-def _passing(n: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, in order of size, the earlier ones whose bitmap leaves room for a link. n ascends."""
+def _passing(n: np.ndarray, bits: list[bytes], allowed: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set, in order of size, the earlier ones whose bitmap leaves room for a link. n ascends. ``allowed`` marks, of places
+    before a place, those that are to be compared with it."""
     width = np.array([len(x) // 8 for x in bits])
     total = LINK[0] + LINK[1]
     rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
@@ -174,51 +180,76 @@ def _passing(n: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, np.ndarray
             for k, x in enumerate(at.tolist()):
                 low = int(np.searchsorted(sizes, -(-int(n[x]) * LINK[0] // LINK[1])))
                 high = int(np.searchsorted(place, x))
-                if low < high:
-                    differ = np.bitwise_count(theirs[low:high] ^ mine[k]).sum(axis=1, dtype=np.int64)
-                    # |A| + |B| - 2 I <= (|A| + |B|) (LINK[1] - LINK[0]) / (LINK[0] + LINK[1]) where they link
-                    ok = place[low:high][differ * total <= (sizes[low:high] + n[x]) * (LINK[1] - LINK[0])]
-                    if len(ok):
-                        yield x, ok
+                if low >= high:
+                    continue
+                near, least, rest = place[low:high], sizes[low:high], theirs[low:high]
+                if allowed is not None:
+                    wanted = allowed(x, near)
+                    if not wanted.any():
+                        continue
+                    near, least, rest = near[wanted], least[wanted], rest[wanted]
+                differ = np.bitwise_count(rest ^ mine[k]).sum(axis=1, dtype=np.int64)
+                # |A| + |B| - 2 I <= (|A| + |B|) (LINK[1] - LINK[0]) / (LINK[0] + LINK[1]) where they link
+                ok = near[differ * total <= (least + n[x]) * (LINK[1] - LINK[0])]
+                if len(ok):
+                    yield x, ok
 
 
 def _compared(first: bool):
-    """Pairs of each tile to verify. Rows come by tile: tile, set, n, bits, and in the second round root.
+    """Pairs of each task to verify. Rows come by tile and task: tile, task, set, n, bits, block, own (whether
+    the row meets others of its block in this task) and root.
 
-    The first round also gives each set that passes with any other as a pair with itself."""
+    The first round gives one pair for each set, with the first set of block 0 that passes or, where none does, of its own block; and
+    each set that passes with any other as a pair with itself."""
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows = sorted(set(rows), key=lambda x: (x[2], x[1]))
-        n = np.array([x[2] for x in rows], dtype=np.int64)
-        found: dict[int, int] = {}
-        touched: set[int] = set()
-        out = []
-        for x, earlier in _passing(n, [x[3] for x in rows]):
-            if first:
-                least = int(earlier.min())
-                found[x] = min(found.get(x, least), least)
-                touched.update(earlier.tolist(), (x,))
-            else:
-                out += [(rows[x][1], rows[y][1]) for y in earlier.tolist() if rows[x][4] != rows[y][4]]
-        return out + [(rows[x][1], rows[y][1]) for x, y in found.items()] + [(rows[x][1], rows[x][1]) for x in touched]
+        rows = sorted(set(rows), key=lambda x: (x[3], x[2]))
+        n, block, own = (np.array([x[k] for x in rows], dtype=np.int64) for k in (3, 5, 6))
+        root = np.array([x[7] for x in rows], dtype=np.int64)
+        if not first and (root == root[0]).all():
+            return []
+        found: list[tuple[int, int]] = []
+        later = rows[0][1] > 0  # a task of the first round in which block 0 only waits for the others
+
+        def allowed(x: int, places: np.ndarray) -> np.ndarray:
+            meets = (block[places] != block[x]) | (own[x] > 0)
+            return meets if first else meets & (root[places] != root[x])
+
+        none = len(rows)
+        hub, near, touched = np.full(none, none), np.full(none, none), np.zeros(none, dtype=bool)
+        for x, earlier in _passing(n, [x[4] for x in rows], allowed):
+            if not first:
+                found += [(rows[x][2], rows[y][2]) for y in earlier.tolist()]
+                continue
+            touched[earlier] = touched[x] = True
+            if later and block[x] == 0:
+                hub[earlier] = np.minimum(hub[earlier], x)
+                continue
+            waits = later & (block[earlier] == 0)
+            for best, places in ((hub, earlier[waits]), (near, earlier[~waits])):
+                if len(places):
+                    best[x] = min(best[x], places.min())
+        partner = np.where(hub < none, hub, near)
+        found += [(rows[x][2], rows[partner[x]][2]) for x in np.flatnonzero(partner < none).tolist()]
+        return found + [(rows[x][2], rows[x][2]) for x in np.flatnonzero(touched).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
+        task, held = None, []
         out: list[tuple[int, int]] = []
 
         def done() -> pa.RecordBatch:
-            own = {(min(p), max(p)) for p in out}
+            own = set(out)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if row[0] != tile:
+                if row[:2] != task:
                     if len(held) > 1:
                         out += pairs(held)
                         if len(out) > 50_000:
                             yield done()
-                    tile, held = row[0], []
+                    task, held = row[:2], []
                 held.append(row)
         if len(held) > 1:
             out += pairs(held)
@@ -227,22 +258,79 @@ def _compared(first: bool):
     return run
 
 
+def _dealt(tiles: DataFrame, first: bool) -> DataFrame:
+    """The sets of ``tiles`` (tile, set, n, bits, root) by task. Tiles of more than BLOCK sets are cut to blocks by a hash of the set.
+
+    First round: a task for each block, where it meets itself and block 0. Second round: a task for any two blocks."""
+    sizes = tiles.groupBy("tile").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    if first:
+        hot = stored(sizes.where(F.col("size") > BLOCK).select("tile", "size"), "jaccard-hot")
+        rows = tiles.join(hot, "tile", "left")
+    else:
+        hot = stored(sizes.where("low < high").select("tile", "size"), "jaccard-open")
+        rows = tiles.join(hot, "tile")
+    rows = rows.withColumn("m", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), "m").cast("int"))
+    if first:
+        rows = rows.withColumn("task", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array("block"))))
+        own = (F.col("task") == 0) | (F.col("block") != 0)
+    else:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("task", F.least("block", "other") * F.col("m") + F.greatest("block", "other"))
+        own = F.col("block") == F.col("other")
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("tile", "task", "set", "n", "bits", "block", own.cast("int").alias("own"), "root").repartition(n, "tile", "task").sortWithinPartitions("tile", "task")
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that link. Rows come by second set and group: its own array first (role 0), then those of the first sets."""
+    b, q = None, None
     for batch in batches:
-        a, b = [], []
-        for x, y, p, q in zip(*(batch.column(name) for name in ("a", "b", "hashes_a", "hashes_b")), strict=True):
-            p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            if LINK[1] * shared >= LINK[0] * (len(p) + len(q) - shared):
-                a.append(x.as_py())
-                b.append(y.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        found = []
+        for name, group, role, x, hashes in zip(*(batch.column(k) for k in ("b", "part", "role", "a", "hashes")), strict=True):
+            p = np.frombuffer(hashes.as_buffer(), np.uint64)
+            if role.as_py() == 0:
+                b, q = (name.as_py(), group.as_py()), p.copy()
+            elif (name.as_py(), group.as_py()) == b:
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                if LINK[1] * shared >= LINK[0] * (len(p) + len(q) - shared):
+                    found.append((x.as_py(), b[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
 def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    one = arrays.select(F.col("set").alias("a"), F.col("hashes").alias("hashes_a"))
-    two = arrays.select(F.col("set").alias("b"), F.col("hashes").alias("hashes_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(tidied(_verified), "a long, b long")
+    """The pairs (``a``, ``b``) that link. ``pairs`` is a written table. A set that is the ``b`` of many pairs has many groups."""
+    many = stored(pairs.groupBy("b").agg(F.count("*").alias("size")).where(F.col("size") > GROUP), "jaccard-many")
+    parts = F.coalesce(F.ceil(F.col("size") / GROUP), F.lit(1))
+    placed = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
+    large = placed.join(arrays.withColumnRenamed("set", "a"), "a").select("b", "part", F.lit(1).alias("role"), "a", "hashes")
+    small = placed.select("b", "part").distinct().join(arrays.withColumnRenamed("set", "b"), "b").select("b", "part", F.lit(0).alias("role"), F.col("b").alias("a"), "hashes")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = large.union(small).repartition(n, "b", "part").sortWithinPartitions("b", "part", "role")
+    return met.mapInArrow(tidied(_verified), "a long, b long")
+
+
+def _frequent(texts: DataFrame, known: DataFrame) -> np.ndarray:
+    """The hashes that FREQUENT or more of about SAMPLE sets have, sorted; which sets is told by their names alone."""
+    total = known.count()
+    some = known.where(F.pmod(F.xxhash64("set"), F.lit(max(1, total))) < SAMPLE).select("set", "rep").collect()  # SAMPLE rows, about
+    wanted = frozenset(row["set"] for row in some)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _arrays(batches):
+            for name, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if name in wanted:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes.as_buffer(), np.int64))], names=["hash"])
+
+    ids = texts.sparkSession.createDataFrame(sorted({(row["rep"],) for row in some}), "id long")
+    found = texts.join(F.broadcast(ids), "id", "left_semi").mapInArrow(tidied(run), "hash long").groupBy("hash").count()
+    return np.sort(found.where(F.col("count") >= FREQUENT).select("hash").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _arrays_of(texts: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
+    """The sorted hashes of the sets ``names``: from the text of one document of each."""
+    ids = known.join(names, "set").select(F.col("rep").alias("id")).distinct()
+    found = texts.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(tidied(_arrays), "set long, hashes binary")
+    # an id may have several rows with different texts: the set tells which is meant
+    return stored(found.join(names, "set", "left_semi").dropDuplicates(["set"]), "jaccard-arrays")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -255,11 +343,11 @@ def link(docs: DataFrame) -> DataFrame:
     texts = small_batches(docs).select(last_long("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     sets = stored(texts.mapInArrow(tidied(_sets), "id long, set long, n long, bits binary"), "jaccard-sets")
     ids = sets.groupBy("id").agg(F.min(F.struct("set", "n")).alias("s")).select("id", "s.set", "s.n")
-    known = sets.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    known = stored(sets.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-known")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, known))  # at most 1 / FREQUENT of the sample's shingles
 
-    hashes = [np.frombuffer(x["hashes"], np.uint64) for x in texts.select("text", F.xxhash64("id").alias("o"), "id").orderBy("o", "id").limit(SAMPLE).select("id", "text").mapInArrow(tidied(_arrays), "set long, hashes binary").collect()]
-    every, times = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_counts=True)
-    frequent = docs.sparkSession.sparkContext.broadcast(every[times >= FREQUENT])  # at most 1 / FREQUENT of the sample's shingles
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(12, (16 * n - 1).bit_length())  # buckets by leading bits, several for each partition
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, sent = frequent.value, set()
@@ -279,28 +367,29 @@ def link(docs: DataFrame) -> DataFrame:
                 of.append(np.full(len(own[-1]), name, dtype=np.int64))
             if own:
                 h, of = np.concatenate(own), np.concatenate(of)
-                bucket = (h >> np.uint64(64 - 12)).astype(np.int64)
+                bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 h, of, bucket = h[order], of[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([x.tobytes() for x in np.split(h, cuts[1:])], pa.binary()), pa.array([x.tobytes() for x in np.split(of, cuts[1:])], pa.binary())], names=["bucket", "hashes", "sets"])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = texts.select("text").mapInArrow(tidied(prefixes), "bucket long, hashes binary, sets binary").repartition(n, "bucket")
     groups = packed.mapInArrow(tidied(_grouped), "key long, sets binary").groupBy("key").applyInArrow(_again, "tile long, set long")
     tiles = stored(groups.join(known.select("set", "n", "bits"), "set").select("tile", "set", "n", "bits"), "jaccard-tiles")
-    by_tile = tiles.repartition(n, "tile").sortWithinPartitions("tile")
-    found = stored(by_tile.mapInArrow(tidied(_compared(True)), "a long, b long").distinct(), "jaccard-pairs")
+    dealt = _dealt(tiles.withColumn("root", F.col("set")), True)
+    found = stored(dealt.mapInArrow(tidied(_compared(True)), "a long, b long").distinct(), "jaccard-pairs")
     pairs, named = found.where("a != b"), found.where("a = b").select(F.col("a").alias("set"))
-    needed = known.join(named, "set").select(F.col("rep").alias("id"), "set")
-    # an id may have several rows with different texts: the set tells which is meant
-    arrays = texts.join(needed.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(tidied(_arrays), "set long, hashes binary")
-    arrays = stored(arrays.dropDuplicates(["set"]), "jaccard-arrays")
+    arrays = _arrays_of(texts, known, named)
     links = stored(_verify(pairs, arrays), "jaccard-links")
     roots = components(links)
-    rooted = tiles.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("tile", "set", "n", "bits", F.coalesce("root", "set").alias("root"))
-    rest = rooted.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(tidied(_compared(False)), "a long, b long").distinct()
-    more = _verify(rest.join(pairs, ["a", "b"], "left_anti"), arrays)
+    rooted = stored(tiles.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("tile", "set", "n", "bits", F.coalesce("root", "set").alias("root")), "jaccard-rooted")
+    rest = _dealt(rooted, False).mapInArrow(tidied(_compared(False)), "a long, b long").distinct()
+    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+    # sets of blocks that did not meet in the first round
+    unknown = stored(rest.select(F.col("a").alias("set")).union(rest.select("b")).distinct().join(named, "set", "left_anti"), "jaccard-unknown")
+    if not unknown.isEmpty():
+        arrays = arrays.union(_arrays_of(texts, known, unknown))
+    more = _verify(rest, arrays)
     roots = components(links.union(more))
     reps = known.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("set", "rep", F.coalesce("root", "set").alias("root"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component"))
