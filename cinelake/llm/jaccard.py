@@ -37,6 +37,8 @@ LINK = (80, 100)
 SAMPLE, FREQUENT = 4096, 8
 #: Sets of a tile's block, and pairs that meet one copy of their smaller set's array, about.
 BLOCK, GROUP = 2048, 256
+#: Bits of the filter of ids for each id, at most in all as a power of two (128 MB), and in a page (as Spark's bitmaps have).
+PER_ID, MOST, PAGE = 16, 30, 32768
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACES = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -325,10 +327,20 @@ def _frequent(texts: DataFrame, known: DataFrame) -> np.ndarray:
     return np.sort(found.where(F.col("count") >= FREQUENT).select("hash").toArrow().column(0).to_numpy().view(np.uint64))
 
 
+def _sifted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is in ``ids``, a written table, and few others: by a bitmap of hashed ids, PER_ID bits for each,
+    in pages of PAGE bits. At most 2 ** MOST bits are broadcast; beyond that more texts pass."""
+    slots = min(1 << MOST, max(PAGE, 1 << (PER_ID * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots))
+    pages = ids.groupBy(F.floor(slot / PAGE).alias("page")).agg(F.bitmap_construct_agg(slot % PAGE).alias("held"))
+    byte = F.conv(F.hex(F.substring("held", F.floor(slot % PAGE / 8) + 1, F.lit(1))), 16, 10).cast("int")
+    return texts.join(F.broadcast(pages), F.floor(slot / PAGE) == F.col("page")).where(F.getbit(byte, (slot % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def _arrays_of(texts: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
-    """The sorted hashes of the sets ``names``: from the text of one document of each."""
-    ids = known.join(names, "set").select(F.col("rep").alias("id")).distinct()
-    found = texts.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(tidied(_arrays), "set long, hashes binary")
+    """The sorted hashes of the sets ``names``: from the text of one document of each. Few other texts are shuffled."""
+    ids = stored(known.join(names, "set").select(F.col("rep").alias("id")).distinct(), "jaccard-wanted")
+    found = _sifted(texts, ids).join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(tidied(_arrays), "set long, hashes binary")
     # an id may have several rows with different texts: the set tells which is meant
     return stored(found.join(names, "set", "left_semi").dropDuplicates(["set"]), "jaccard-arrays")
 
