@@ -340,7 +340,8 @@ def _sifted(texts: DataFrame, ids: DataFrame) -> DataFrame:
 def _arrays_of(texts: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
     """The sorted hashes of the sets ``names``: from the text of one document of each. Few other texts are shuffled."""
     ids = stored(known.join(names, "set").select(F.col("rep").alias("id")).distinct(), "jaccard-wanted")
-    found = _sifted(texts, ids).join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(tidied(_arrays), "set long, hashes binary")
+    # ids are distinct; an inner join, as Spark would put a semi join below that of the filter
+    found = _sifted(texts, ids).join(ids.hint("shuffle_hash"), "id").mapInArrow(tidied(_arrays), "set long, hashes binary")
     # an id may have several rows with different texts: the set tells which is meant
     return stored(found.join(names, "set", "left_semi").dropDuplicates(["set"]), "jaccard-arrays")
 
