@@ -265,12 +265,9 @@ def _dealt(tiles: DataFrame, first: bool) -> DataFrame:
 
     First round: a task for each block, where it meets itself and block 0. Second round: a task for any two blocks."""
     sizes = tiles.groupBy("tile").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    if first:
-        hot = stored(sizes.where(F.col("size") > BLOCK).select("tile", "size"), "jaccard-hot")
-        rows = tiles.join(hot, "tile", "left")
-    else:
-        hot = stored(sizes.where("low < high").select("tile", "size"), "jaccard-open")
-        rows = tiles.join(hot, "tile")
+    # only what tiles of many sets need is looked up; a small tile in one component is told by the task that gets it
+    hot = stored(sizes.where(F.col("size") > BLOCK).select("tile", "size", (F.col("low") < F.col("high")).alias("open")), "jaccard-hot")
+    rows = tiles.join(hot, "tile", "left").where(F.coalesce("open", F.lit(True)))
     rows = rows.withColumn("m", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), "m").cast("int"))
     if first:
         rows = rows.withColumn("task", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array("block"))))
