@@ -151,16 +151,28 @@ def _logistic(held: list[np.ndarray], label: np.ndarray, scale: np.ndarray, step
     """Weights and intercept of the penalised logistic regression on presence times ``scale``, by accelerated gradient descent."""
     order = sorted(range(len(held)), key=lambda k: (label[k], held[k].tobytes()))  # the rows' order must not change the result
     held, label = [held[k] for k in order], label[order]
-    size = np.array([len(x) for x in held])
-    row, column = np.repeat(np.arange(len(held)), size), np.concatenate(held) if size.sum() else np.zeros(0, np.int32)
-    value = scale[column]
+    size = np.array([len(x) for x in held], dtype=np.int64)
+    column = np.concatenate(held).astype(np.intp) if size.sum() else np.zeros(0, np.intp)
+    by_column = np.argsort(column, kind="stable")
+    row = np.repeat(np.arange(len(held)), size)[by_column]
+    place = np.empty(len(column))
+
+    def sums(values: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of each run of ``at``, of the given sizes, the sum of the values there."""
+        some = np.flatnonzero(sizes)
+        out = np.zeros(len(sizes))
+        if len(some):
+            out[some] = np.add.reduceat(np.take(values, at, out=place, mode="clip"), (np.cumsum(sizes) - sizes)[some])
+        return out
+
+    has = np.bincount(column, minlength=len(scale))
     n = len(label)
     w, b = np.zeros(len(scale)), float(np.log(label.mean() / (1 - label.mean())))
     at_w, at_b, momentum = w, b, 1.0
-    step = 4.0 / (1.0 + float(np.bincount(row, value * value, minlength=n).max(initial=0.0)))
+    step = 4.0 / (1.0 + float(sums(scale * scale, column, size).max(initial=0.0)))
     for _ in range(steps):
-        wrong = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * at_w[column], minlength=n) + at_b, -30, 30))) - label
-        grad = np.bincount(column, value * wrong[row], minlength=len(scale)) / n + penalty * at_w
+        wrong = 1 / (1 + np.exp(-np.clip(sums(scale * at_w, column, size) + at_b, -30, 30))) - label
+        grad = scale * sums(wrong, row, has) / n + penalty * at_w
         new_w, new_b = at_w - step * grad, at_b - step * wrong.mean()
         faster = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         at_w, at_b = new_w + (momentum - 1) / faster * (new_w - w), new_b + (momentum - 1) / faster * (new_b - b)
